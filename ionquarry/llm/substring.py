@@ -162,28 +162,30 @@ def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataF
     # One row for each word sequence; equal sequences have equal anchors.
     reps = whole.where(f"n_words >= {WINDOW}").groupBy("sha").agg(F.min("ord").alias("rep"), F.first("anchors").alias("anchors"))
     reps = written(reps, "sequences")
+    lead = reps.select("sha", "rep")
+    each = written(whole.select("ord", "n_words", "sha").join(lead, "sha", "left"), "documents")
+    discard(whole)
+    release_shuffles(spark)
     spots = reps.select("rep", "sha", F.posexplode("anchors").alias("k", "h"))
     shared = spots.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
     hits = spots.join(shared, "h").groupBy("rep", "sha").agg(F.collect_list("k").alias("hits"))
     hits = written(hits, "hits")
+    discard(reps)
     release_shuffles(spark)
     near = written(rows.join(hits, rows["ord"] == hits["rep"]).select("ord", "sha", "text", "hits"), "near")
+    discard(hits)
     release_shuffles(spark)
     windows = written(near.mapInArrow(_windows, "h long, g long, ord long, at int"), "windows")
     first = windows.groupBy("h", "g").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi")
-    starts = (
-        windows.join(first, ["h", "g"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts"))
-    )
+    starts = windows.join(first, ["h", "g"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts"))
+    starts = written(starts, "starts")
+    discard(windows)
+    release_shuffles(spark)
     cut = near.select("ord", "sha", "text").join(starts, "ord").select("ord", "sha", "text", "starts")
-    cut = written(
-        cut.mapInArrow(_cut, "rep long, sha binary, rep_removed long, kept_text string").where("rep_removed is not null"),
-        "cut",
-    ).dropDuplicates(["rep", "sha"])
+    cut = cut.mapInArrow(_cut, "rep long, sha binary, rep_removed long, kept_text string").where("rep_removed is not null")
+    cut = written(cut, "cut").dropDuplicates(["rep", "sha"])
+    discard(near)
     release_shuffles(spark)
-    for done in (windows, hits, near):
-        discard(done)
-    lead = reps.select("sha", "rep")
-    each = whole.select("ord", "n_words", "sha").join(lead, "sha", "left")
     return each, cut
 
 
