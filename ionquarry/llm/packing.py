@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import release_shuffles, written
-from .tokens import TOKENIZER, encoder
+from .tokens import TOKENIZER, encoder, slices
 
 SEQUENCE, END_ID = 2048, 1
 #: Gaps from this many ids are filled by cutting.
@@ -170,9 +170,8 @@ def _cut(docs: DataFrame, tokenizer: str, end_id: int, sequence: int, text: str,
         seen: Counter = Counter()
         full = 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                ids = [x + end for x in code.encode(some.column(1).to_pylist())]
+            for some in slices(b, 1):
+                ids = [x + end for x in code.encode(some.column(1))]
                 sizes = [len(x) // code.width for x in ids]
                 ranks, before = [], []
                 for n in sizes:
@@ -214,7 +213,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = plan.value
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             out = []
             for doc_id, ids, width, n, rest, rank, before in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 ids = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import open_fs, scratch, shuffle_parts, written
-from .tokens import TOKENIZER, encoder
+from .tokens import TOKENIZER, encoder, slices
 
 SEQUENCE, BATCH, END_ID = 2048, 256, 0
 MANIFEST = "shard int, path string, docs_path string, n_sequences long, n_tokens long, n_docs long"
@@ -150,9 +150,8 @@ def write(
         task, code, out = TaskContext.get(), encoder(tokenizer), None
         end = np.array([end_id], dtype=code.dtype).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for i, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1).to_pylist()), strict=True):
+            for part in slices(b, 1):
+                for i, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1)), strict=True):
                     if out is None:
                         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
                         out = ShardWriter(uri, name, code.dtype, sequence)

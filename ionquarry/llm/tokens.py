@@ -1,23 +1,65 @@
 """Encoding of whole texts with the tokenizers library, each distinct word once.
 
-Byte-level BPE never merges across the start of a new word, and the split
-pattern of these vocabularies starts a new word at a space that follows a
-character other than white space.  So a text whose white space never stands two
-in a row is the concatenation of its parts, cut in front of each space, and a
-part is encoded only when it is first seen.  Any other text is encoded whole.
+The split pattern of these vocabularies starts a new pre-token at a space, unless
+more white space comes before and after it, and byte-level BPE never merges
+across pre-tokens.  So a text is cut in front of its spaces, the distinct parts
+of a batch are found by Arrow, only those not met lately are encoded, and the
+ids of the texts are gathered from theirs.  A text with a space inside a run of
+white space is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
+from operator import methodcaller
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 TOKENIZER = "byte_bpe_50k.json"
-_DOUBLED = re.compile(r"\s\s|\s\Z")
-#: Parts remembered in a worker; the memo is emptied beyond that.
-BOUND = 1_000_000
+#: White space in the sense of the split pattern, and a space inside or at the end of a run of it.
+_W = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_INSIDE = rf"{_W} (?:{_W}|\z)"
+#: Parts remembered in a worker (the memo is emptied beyond that), and text bytes worked on at once.
+BOUND, BYTES = 2_000_000, 8 << 20
+_BYTES = methodcaller("encode", "utf-8", "surrogatepass")
+
+
+class Memo:
+    """Ids of parts by the 128-bit hash of a part, in flat arrays: some 30 bytes an entry."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.uint16)
+        self.blob, self.used = np.empty(1 << 16, dtype), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys[:, 0]), len(self.keys) - 1)
+        known = (self.keys[at] == keys[:, 0]) & (self.check[at] == keys[:, 1])
+        return np.where(known, self.starts[at], 0), np.where(known, self.sizes[at], 0).astype(np.int64), known
+
+    def put(self, ids: np.ndarray) -> int:
+        first, end = self.used, self.used + len(ids)
+        if end > len(self.blob):
+            self.blob = np.concatenate([self.blob[:first], np.empty(max(end, len(self.blob)), self.blob.dtype)])
+        self.blob[first:end], self.used = ids, end
+        return first
+
+    def learn(self, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Very long parts aren't remembered, nor is a part whose first 64 bits are another's."""
+        first, one = np.unique(keys[:, 0], return_index=True)
+        at = np.searchsorted(self.keys, first)
+        free = sizes[one] < 1 << 16
+        if len(self.keys):
+            free &= self.keys[np.minimum(at, len(self.keys) - 1)] != first
+        one, at = one[free], at[free]
+        self.keys, self.check = np.insert(self.keys, at, keys[one, 0]), np.insert(self.check, at, keys[one, 1])
+        self.starts, self.sizes = np.insert(self.starts, at, starts[one]), np.insert(self.sizes, at, sizes[one].astype(np.uint16))
 
 
 class Encoder:
@@ -37,33 +79,53 @@ class Encoder:
         self.library = Tokenizer.from_file(tokenizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.width, self.bound = self.dtype.itemsize, bound
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.dtype)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, split, out = self.memo, [], [None] * len(texts)
-        odd = []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if _DOUBLED.search(text):
-                odd.append(i)
-                split.append(())
-            else:
-                first, *rest = text.split(" ")
-                split.append([first, *map(" ".__add__, rest)])
-        if len(memo) > self.bound:
-            memo.clear()
-        new = list({p for parts in split for p in parts if p not in memo})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            memo.update(zip(some, self._whole(some), strict=True))
-        for i, parts in enumerate(split):
-            out[i] = b"".join(map(memo.__getitem__, parts))
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(first place in the blob, number of ids) of each part."""
+        memo, n = self.memo, len(parts)
+        raw = b"".join(map(xxhash.xxh3_128_digest, map(_BYTES, parts)))
+        keys = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+        starts, sizes, known = memo.find(keys)
+        new = np.flatnonzero(~known)
+        if len(new) + len(memo.keys) > self.bound:
+            memo = self.memo = Memo(self.dtype)
+            starts, sizes, new = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            ids = [e.ids for e in self.library.encode_batch_fast([parts[i] for i in some.tolist()], add_special_tokens=False)]
+            sizes[some] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=self.dtype, count=int(sizes[some].sum()))
+            starts[some] = memo.put(flat) + np.cumsum(sizes[some]) - sizes[some]
+        memo.learn(keys[new], starts[new], sizes[new])
+        return starts, sizes
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        column = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
+        if not len(column):
+            return []
+        odd = pc.match_substring_regex(column, _INSIDE)
+        split = pc.split_pattern(pc.if_else(odd, "", column), " ")
+        words = split.flatten().dictionary_encode()
+        codes, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        # The first part of a text has no space before it.
+        lead, place = np.unique(codes[bounds[:-1]], return_inverse=True)
+        codes[bounds[:-1]] = len(names) + place
+        starts, sizes = self._parts([" " + n for n in names] + [names[i] for i in lead.tolist()])
+        flat, lengths = self.memo.blob, sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        gathered = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], lengths)]
+        cuts = ends[bounds].tolist()
+        out = [gathered[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        if at:
+            for i, found in zip(at, self._whole(column.take(pa.array(at)).to_pylist()), strict=True):
+                out[i] = found
         return out
 
 
@@ -75,3 +137,14 @@ def encoder(tokenizer: str) -> Encoder:
     if tokenizer not in _ENCODERS:
         _ENCODERS[tokenizer] = Encoder(tokenizer)
     return _ENCODERS[tokenizer]
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = BYTES):
+    """The batch in slices of about ``most`` bytes of a string or binary column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends, before + most, side="right")) - at)
+        yield batch.slice(at, n)
+        at += n
