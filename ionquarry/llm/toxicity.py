@@ -8,8 +8,9 @@ list of weights that is broadcast to score every whole text.
 
 The fit streams over at most ``MOST_LABELLED`` labelled rows, of which at most
 ``MOST_POSITIVE`` are positive: the first ones by a hash of doc_id, so the
-sample does not depend on how the rows lie.  Rows of a class that is cut weigh
-more by the same factor.  Labels are all that is learnt from; doc_id only
+sample does not depend on how the rows lie.  The last fifth of the sample isn't
+learnt from: the bias is shifted so that a score of 0.5 costs least there, an
+error on a negative counting ``FALSE_ALARM`` times one on a positive.  Labels are all that is learnt from; doc_id only
 chooses the folds, and lang and source are not read.
 
 Defined cases: a null, empty or blank text scores the bias alone; labels other
@@ -33,7 +34,8 @@ from ._common import WordIds, written
 
 DIMENSIONS = 1 << 20
 MOST_LABELLED, MOST_POSITIVE = 16_000, 6_000
-EPOCHS = 2
+EPOCHS = 3
+FALSE_ALARM = 4.0
 #: ASCII punctuation counts as white space.
 _SPACED = bytes(c if not (32 < c < 127) or chr(c).isalnum() or chr(c) in "'" else 32 for c in range(256))
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -56,7 +58,7 @@ class Features:
 class Ftrl:
     """Per-coordinate FTRL-proximal with L1 and L2, one example after the other."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
+    def __init__(self, dimensions: int = DIMENSIONS, alpha: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(dimensions), np.zeros(dimensions)
         self.bias_z = self.bias_n = 0.0
@@ -69,10 +71,10 @@ class Ftrl:
     def bias(self) -> float:
         return -self.bias_z / ((self.beta + self.bias_n**0.5) / self.alpha + self.l2)
 
-    def learn(self, at: np.ndarray, label: int, weight: float = 1.0) -> None:
+    def learn(self, at: np.ndarray, label: int) -> None:
         z, n = self.z[at], self.n[at]
         w, b = self._weights(z, n), self.bias
-        g = (1 / (1 + np.exp(-np.clip(b + w.sum(), -35, 35))) - label) * weight
+        g = 1 / (1 + np.exp(-np.clip(b + w.sum(), -35, 35))) - label
         self.z[at] = z + g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
         self.bias_z += g - ((self.bias_n + g * g) ** 0.5 - self.bias_n**0.5) / self.alpha * b
@@ -84,6 +86,20 @@ class Ftrl:
         return at, w[at]
 
 
+def threshold(sums: np.ndarray, labels: np.ndarray, false_alarm: float = FALSE_ALARM) -> float:
+    """Where to cut the sums so that errors cost least; of equal cuts the middle of the widest gap.  0 if a class is missing."""
+    if len(np.unique(labels)) < 2:
+        return 0.0
+    order = np.argsort(sums, kind="stable")
+    s, y = sums[order], labels[order]
+    missed = np.concatenate([[0], np.cumsum(y)])  # positives below each cut
+    alarms = np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    edges = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
+    cost, gap = missed + false_alarm * alarms, np.diff(edges)
+    best = np.lexsort((-gap, cost))[0]
+    return float((edges[best] + edges[best + 1]) / 2)
+
+
 @dataclass
 class Model:
     bias: float
@@ -108,9 +124,12 @@ def fit(
     share = {1: positive / max(1, counts.get(1, 0)), 0: min(1.0, (most - positive) / max(1, counts.get(0, 0)))}
     # The same hash decides for every copy of the table: the sample is bounded in the mean and cut at ``most``.
     spot = F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    known = known.withColumn("spot", spot).where(F.when(F.col("y") == 1, F.col("spot") < share[1]).otherwise(F.col("spot") < share[0]))
+    # Scaled by the class's share, so that the classes lie mixed in the order of learning.
+    spot = spot / F.when(F.col("y") == 1, share[1]).otherwise(share[0])
+    known = known.withColumn("spot", spot).where("spot < 1")
     body = docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{text}`").alias("text"))
-    found = body.join(known, "k").select("k", "y", "spot", "text")
+    # Bounded by ``most``, so the texts stay where they are.
+    found = body.join(F.broadcast(known.limit(2 * most)), "k").select("k", "y", "spot", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -120,17 +139,21 @@ def fit(
 
     sets = found.mapInArrow(extract, "k long, y int, spot double, at binary")
     sets = written(sets.orderBy("spot", "k", "y").limit(most), "labelled")
-    weight = {y: 1 / s if s else 1.0 for y, s in share.items()}
-
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(s, k, y, a) for b in batches for k, y, s, a in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
         rows.sort()
+        spared = len(rows) // 5
         model = Ftrl(**settings)
         for _ in range(epochs):
-            for _, _, y, at in rows:
-                model.learn(np.frombuffer(at, dtype="<u4").astype(np.int64), y, weight[y])
+            for _, _, y, at in rows[: len(rows) - spared]:
+                model.learn(np.frombuffer(at, dtype="<u4").astype(np.int64), y)
         at, w = model.sparse()
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([model.bias, *w.tolist()])], names=["at", "w"])
+        dense = np.zeros(DIMENSIONS)
+        dense[at] = w
+        rest = rows[len(rows) - spared :]
+        sums = np.array([model.bias + dense[np.frombuffer(a, dtype="<u4")].sum() for *_, a in rest])
+        bias = model.bias - threshold(sums, np.array([y for _, _, y, _ in rest]))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([bias, *w.tolist()])], names=["at", "w"])
 
     # One task learns: its rows are bounded by ``most``.
     learnt = sets.coalesce(1).mapInArrow(train, "at long, w double").toPandas()
