@@ -102,7 +102,7 @@ class WordIds(dict):
     whatever the vocabulary; values do not depend on it.
     """
 
-    def __init__(self, seed: int = 0, bound: int = 1_000_000):
+    def __init__(self, seed: int = 0, bound: int = 200_000):
         import xxhash
 
         super().__init__()
