@@ -94,7 +94,7 @@ def weighted_average_score(score: Column) -> Column:
 def best_per_group(rows: DataFrame, group: list[str], score: str, tie: str) -> DataFrame:
     """The row with the highest score of each group; ties go to the smaller ``tie``.  A partial aggregate, not a sort."""
     others = [c for c in rows.columns if c not in group]
-    best = F.max_by(F.struct(*others), F.struct(F.col(score), F.lit(0))) if tie is None else F.min_by(F.struct(*others), F.struct((-F.col(score)).alias("s"), F.col(tie)))
+    best = F.min_by(F.struct(*others), F.struct((-F.col(score)).alias("s"), F.col(tie)))
     return rows.groupBy(*group).agg(best.alias("best")).select(*group, "best.*")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tanimoto import tanimoto_from_minimum
-from .aggregate import l1_norms
+from .aggregate import best_per_group, l1_norms
 
 #: Bytes of queries that may be broadcast, and rows of a block beyond that.
 BROADCAST, BLOCK = 64 << 20, 16_384
@@ -102,6 +102,45 @@ def dense(queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix
     return ranked(part, k, query, item).select(query, "rank", item, "score")
 
 
+def dense_best(queries: DataFrame, library: DataFrame, query: str = "query_ix", item: str = "spec_id", group: str = "comp_id", vec: str = "vec") -> DataFrame:
+    """(query, group, item, score): each group's best item for each query by cosine; ties go to the smaller item.
+
+    Queries, whose size is checked, are broadcast (block by block beyond
+    ``BROADCAST``); a library partition answers with one row per query and group.
+    """
+    spark = library.sparkSession
+    q = queries.select(F.col(query).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v"))
+    shape = q.agg(F.count("*"), F.max(F.size("v"))).first()
+    lib = library.select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    kinds = [lib.schema[c].dataType.simpleString() for c in ("g", "item")]
+    parts = max(1, -(-shape[0] * (shape[1] or 1) * 8 // BROADCAST))
+    best = None
+    for part in range(parts):
+        held = q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toPandas()  # at most about BROADCAST bytes
+        if held.empty:
+            continue
+        shared = spark.sparkContext.broadcast((held["q"].to_numpy(), _unit(np.stack(held["v"].to_list()))))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            q_ids, q_vec = shared.value
+            for pdf in frames:
+                if pdf.empty:
+                    continue
+                pdf = pdf.sort_values(["g", "item"])
+                s = np.round(q_vec @ _unit(np.stack(pdf["v"].to_list())).T, DIGITS)
+                names, items = pdf["g"].to_numpy(), pdf["item"].to_numpy()
+                starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+                for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+                    at = a + s[:, a:b].argmax(axis=1)
+                    yield pd.DataFrame({query: q_ids, group: names[a], item: items[at], "score": s[np.arange(len(q_ids)), at]})
+
+        some = lib.mapInPandas(run, f"{query} long, {group} {kinds[0]}, {item} {kinds[1]}, score double")
+        best = some if best is None else best.union(some)
+    if best is None:
+        return spark.createDataFrame([], f"{query} long, {group} {kinds[0]}, {item} {kinds[1]}, score double")
+    return best_per_group(best, [query, group], "score", item)
+
+
 def minima(queries: DataFrame, library: DataFrame, query: str = "query_ix", item: str = "comp_id") -> DataFrame:
     """(query, item, smin, dot) of all pairs that share a bit; inputs are (id, bit, value)."""
     a = queries.select(query, "bit", F.col("value").alias("x"))

@@ -95,9 +95,8 @@ r as (select *, row_number() over (partition by query_ix, comp_id order by score
 select query_ix, comp_id, spec_id, round(score, 6) as score from r where n = 1""")
 def best_spectrum_per_compound(v):
     e = v("v_embeddings")
-    count = e.count()
-    scores = topk.dense(e.withColumnRenamed("pos", "query_ix"), e, count).drop("rank").join(v("v_emb_map"), "spec_id")
-    return _round(aggregate.best_per_group(scores, ["query_ix", "comp_id"], "score", "spec_id"), "score").select("query_ix", "comp_id", "spec_id", "score")
+    library = e.drop("pos").join(v("v_emb_map"), "spec_id")
+    return _round(topk.dense_best(e.withColumnRenamed("pos", "query_ix"), library), "score").select("query_ix", "comp_id", "spec_id", "score")
 
 
 # --- Lookups and joins ------------------------------------------------------------------------
