@@ -30,6 +30,7 @@ import io
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,10 +75,20 @@ def header(record_id: str, page_id: int | None, url: str | None, size: int, sha1
 
 @dataclass
 class Archive:
-    """``records``: record_id, page_id, type, head, sha256; ``payloads``: sha256, payload."""
+    """``records``: record_id, page_id, type, head, sha256, large; ``payloads``: sha256, payload.
+
+    Payloads of ``least`` bytes and more are in ``large``, a table bucketed by
+    digest: each has one response, so records join it without moving a payload.
+    The others, in ``small``, may have any number.
+    """
 
     records: DataFrame
-    payloads: DataFrame
+    large: DataFrame
+    small: DataFrame
+
+    @property
+    def payloads(self) -> DataFrame:
+        return self.large.unionByName(self.small)
 
 
 def archive(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
@@ -106,23 +117,29 @@ def archive(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             page, url, sha256, sha1, size, rid, refers = (b.column(i).to_pylist() for i in range(7))
+            large = [n >= least for n in size]
             head = [header(*x) for x in zip(rid, page, url, size, sha1, refers, strict=True)]
             kind = ["revisit" if r else "response" for r in refers]
             yield pa.RecordBatch.from_arrays(
-                [b.column(5), b.column(0), pa.array(kind), pa.array(head, pa.binary()), b.column(2)],
-                names=["record_id", "page_id", "type", "head", "sha256"],
+                [b.column(5), b.column(0), pa.array(kind), pa.array(head, pa.binary()), b.column(2), pa.array(large)],
+                names=["record_id", "page_id", "type", "head", "sha256", "large"],
             )
 
-    records = written(told.mapInArrow(heads, "record_id string, page_id long, type string, head binary, sha256 string"), "records")
+    records = written(told.mapInArrow(heads, "record_id string, page_id long, type string, head binary, sha256 string, large boolean"), "records")
     # Equal digests are equal payloads: the first of each is stored (partial aggregation drops the rest before the shuffle).
-    payloads = written(rows.groupBy("sha256").agg(F.first("payload").alias("payload")), "payloads")
+    once = lambda some: rows.where(some).groupBy("sha256").agg(F.first("payload").alias("payload"))
+    name = f"ionquarry_payloads_{uuid4().hex[:12]}"
+    large = once(F.col("size") >= least).write.bucketBy(shuffle_parts(spark), "sha256")
+    large.option("path", scratch(spark, "payloads")).mode("overwrite").saveAsTable(name)
+    small = written(once(F.col("size") < least), "payloads")
     release_shuffles(spark)
-    return Archive(records, payloads)
+    return Archive(records, spark.table(name), small)
 
 
 def reconstruct(store: Archive) -> DataFrame:
     """(record_id, page_id, head, payload): the original bytes of each record are head and payload; a revisit has none of the latter."""
-    stored = store.records.where("type = 'response'").join(store.payloads, "sha256")
+    own = store.records.where("type = 'response'")
+    stored = own.where("large").join(store.large, "sha256").unionByName(own.where("not large").join(store.small, "sha256"))
     bare = store.records.where("type <> 'response'").withColumn("payload", F.lit(b"").cast("binary"))
     return stored.unionByName(bare).select("record_id", "page_id", "head", "payload", "sha256", "type")
 
