@@ -176,11 +176,15 @@ def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataF
     discard(hits)
     release_shuffles(spark)
     windows = written(near.mapInArrow(_windows, "h long, g long, ord long, at int"), "windows")
-    first = windows.groupBy("h", "g").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi")
-    starts = windows.join(first, ["h", "g"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts"))
-    starts = written(starts, "starts")
+    # Half of the hashes at a time, so that half as much is shuffled at once.
+    rounds = []
+    for half in range(2):
+        some = windows.where(F.shiftrightunsigned("g", 63) == half)
+        first = some.groupBy("h", "g").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").drop("hi")
+        rounds.append(written(some.join(first, ["h", "g"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts")), "starts"))
+        release_shuffles(spark)
     discard(windows)
-    release_shuffles(spark)
+    starts = rounds[0].union(rounds[1]).groupBy("ord").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = near.select("ord", "sha", "text").join(starts, "ord").select("ord", "sha", "text", "starts")
     cut = cut.mapInArrow(_cut, "rep long, sha binary, rep_removed long, kept_text string").where("rep_removed is not null")
     cut = written(cut, "cut").dropDuplicates(["rep", "sha"])
