@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import asdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import exploded, from_dense
 from ..functions.keys import strip_where
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, l2_normalized
 from ..operators import aggregate, lookup, merging, topk, writes
-from ..plugins import compute_embeddings, compute_fingerprints, missing_embeddings, structureless, without_fingerprint
-from ..schema import METADATA_FIELDS, SPECTRA
+from ..plugins import compute_embeddings, compute_fingerprints, external, missing_embeddings, structureless, without_fingerprint
+from ..schema import COMPOUNDS, KEY_LENGTH, METADATA_FIELDS, SPECTRA
 from ..settings import FingerprintSettings, MergeSettings
 from ..sources import compounds as compound_files
 from ..sources import mgf
@@ -106,6 +107,34 @@ class Library:
             self.upsert_compounds(fresh)
         return out
 
+    def link_many(self, pairs: list[tuple[str, str]]) -> None:
+        """Put (spec_id, comp_id) pairs into the map, all or none; the last pair of a spectrum wins."""
+        bad = [c for _, c in pairs if c is None or len(c) != KEY_LENGTH]
+        if bad:
+            raise ValueError(f"not 14-character keys: {bad[:3]}")
+        frame = self.spark.createDataFrame([(i, str(s), c) for i, (s, c) in enumerate(pairs)], "pos long, spec_id string, comp_id string")
+        self.store.replace("spec_to_comp", writes.links(self.table("spec_to_comp"), frame), sort=["comp_id"])
+
+    def link(self, spec_id: str, comp_id: str) -> None:
+        self.link_many([(spec_id, comp_id)])
+
+    def upsert_many(self, rows: list[dict]) -> list[str]:
+        """Put compounds in by their full key, all or none; their comp_ids.  A missing or short key raises ``ValueError``."""
+        ids = []
+        for r in rows:
+            key = (r.get("inchikey") or "").strip().upper()
+            ids.append(key.split("-")[0][:KEY_LENGTH])
+            if len(ids[-1]) != KEY_LENGTH:
+                raise ValueError(f"no compound key in {r.get('inchikey')!r}")
+        fields = [f.name for f in COMPOUNDS if f.name != "comp_id"]
+        values = [(i, c, *[r.get(f) for f in fields]) for i, (c, r) in enumerate(zip(ids, rows, strict=True))]
+        schema = "pos long, comp_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COMPOUNDS if f.name != "comp_id")
+        self.upsert_compounds(self.spark.createDataFrame(values, schema), "pos")
+        return ids
+
+    def upsert_compound(self, **row) -> str:
+        return self.upsert_many([row])[0]
+
     def upsert_compounds(self, rows: DataFrame, pos: str | None = None) -> None:
         old = self.table("compounds")
         self.store.replace("compounds", writes.upsert(old, rows, "comp_id", pos), sort=["comp_id"])
@@ -118,9 +147,12 @@ class Library:
         self.store.replace(name, new.select(*full), sort=["comp_id"])
         return stats
 
-    def compute_missing_embeddings(self) -> int:
+    def compute_missing_embeddings(self, only_missing: bool = True) -> int:
+        """How many embeddings were computed; ``only_missing=False`` replaces those that exist."""
         if self.load_model is None:
             raise RuntimeError("no embedding model is set")
+        if not only_missing:
+            return self.store.replace("embeddings", compute_embeddings(self.process(self.table("spectra")), self.load_model, self.settings.normalize_sum)).count()
         have = self.table("embeddings")
         before = have.count()
         todo = self.process(missing_embeddings(self.table("spectra"), have))
@@ -147,7 +179,48 @@ class Library:
         full = [F.col(f.name) if f.name in merged.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in done.schema]
         return self.store.append("merged_spectra", merged.select(*full)).count() - before
 
+    # Indexes: derived tables that searches read instead of the source tables once they are there.
+    def build_embedding_index(self, condition: str | None = None) -> int:
+        """Unit vectors of the embeddings (that meet the condition); their number.  No rows or mixed lengths raise ``ValueError``."""
+        rows = self.table("embeddings")
+        rows = rows.where(strip_where(condition)) if condition else rows
+        lookup.one_dimension(rows, may_be_empty=False)
+        index = rows.select("spec_id", "d", l2_normalized(F.col("vec")).cast("array<float>").alias("vec"))
+        return self.store.replace("index_embeddings", index, sort=["spec_id"]).count()
+
+    def build_fingerprint_index(self, name: str = "compounds") -> int:
+        """Postings (bit, comp_id, value) sorted by bit, and L1 norms; the number of compounds.  Negative values raise."""
+        postings = self.store.replace(f"index_{name}", topk.non_negative(self.bits(name)), sort=["bit"])
+        return self.store.replace(f"index_{name}_l1", aggregate.l1_norms(postings, "comp_id"), sort=["comp_id"]).count()
+
+    def _vectors(self) -> DataFrame:
+        return self.table("index_embeddings") if self.store.has("index_embeddings") else self._ready("embeddings")
+
+    def _postings(self, name: str) -> DataFrame:
+        return self.table(f"index_{name}") if self.store.has(f"index_{name}") else self.bits(name)
+
     # Lookups.
+    def ids(self) -> DataFrame:
+        return self.table("spectra").select("spec_id")
+
+    def compound_ids(self) -> DataFrame:
+        return self.table("compounds").select("comp_id").orderBy("comp_id")
+
+    def all_fingerprints(self) -> DataFrame:
+        """By compound key, compounds without a fingerprint included."""
+        return self.table("compounds").select("comp_id", "fp_bits", "fp_values", "fp_dense").orderBy("comp_id")
+
+    def all_mappings(self) -> DataFrame:
+        return self.table("spec_to_comp")
+
+    def compound(self, comp_id: str) -> dict | None:
+        return lookup.compound(self.table("compounds"), comp_id)
+
+    def unique_compounds(self, more: DataFrame | None = None, key: str = "inchikey14") -> DataFrame:
+        """(inchikey14, n_spectra, inchikey), and the columns of a user's table joined on ``key``."""
+        found = aggregate.unique_compounds(self.table("spectra"))
+        return found if more is None else lookup.with_external(found, more, "inchikey14", key)
+
     def _ask(self, ids: Sequence[str], key: str = "spec_id") -> DataFrame:
         return lookup.request(self.spark, ids, key)
 
@@ -205,14 +278,14 @@ class Library:
         return made.select(F.col("spec_id").cast("long").alias("query_ix"), "vec")
 
     def query_spectra_by_spectra(self, spectra: DataFrame, k_spectra: int = 10) -> DataFrame:
-        return topk.dense(self._embedded(spectra), self._ready("embeddings"), k_spectra)
+        return topk.dense(self._embedded(spectra), self._vectors(), k_spectra)
 
     def query_by_spec_ids(self, ids: Sequence[str], k: int = 10) -> DataFrame:
         """(query_ix, query_spec_id, rank, spec_id, score); ``query_ix`` is the place in the request."""
         asked = self._ask(ids).withColumnsRenamed({"pos": "query_ix", "spec_id": "query_spec_id"})
         stored = self._ready("embeddings")
         queries = asked.join(stored.select(F.col("spec_id").alias("query_spec_id"), "vec"), "query_spec_id")
-        return topk.dense(queries, stored, k).join(asked, "query_ix").select("query_ix", "query_spec_id", "rank", "spec_id", "score")
+        return topk.dense(queries, self._vectors(), k).join(asked, "query_ix").select("query_ix", "query_spec_id", "rank", "spec_id", "score")
 
     def query_compounds_by_spectra(self, spectra: DataFrame, k_spectra: int = 100, k_compounds: int = 10, distinct_compounds: bool = False) -> DataFrame:
         if k_compounds > k_spectra:
@@ -239,16 +312,34 @@ class Library:
             both = made.select(F.col("comp_id").cast("long").alias("pos"), F.when(F.size("fp_bits") > 0, F.struct(F.col("fp_bits").alias("bits"), F.col("fp_values").alias("values"))).otherwise(from_dense(F.col("fp_dense"))).alias("f"))
             structures = both.where("f is not null").select("pos", F.col("f.bits").alias("fp_bits"), F.col("f.values").alias("fp_values"))
         asked = exploded(structures.withColumn("query_ix", F.col("pos").cast("long")), "query_ix")
-        return topk.sparse(asked, self.bits(), k_compounds)
+        return topk.sparse(asked, self._postings("compounds"), k_compounds)
 
     def analogue_search(self, spectra: DataFrame, k_compounds: int = 10) -> DataFrame:
-        own = self.bits()
-        wide = self.bits("compounds_all") if self.store.has("compounds_all") else own
+        own = self._postings("compounds")
+        wide = self._postings("compounds_all") if self.store.has("compounds_all") else own
         target = own if wide.isEmpty() else wide
-        return analogue_search(self._embedded(spectra), self._ready("embeddings"), self.table("spec_to_comp"), own, target, k_compounds)
+        return analogue_search(self._embedded(spectra), self._vectors(), self.table("spec_to_comp"), own, target, k_compounds)
 
     def compound_graph(self, k: int = 25) -> DataFrame:
-        return topk.knn_graph(self.bits(), k)
+        return topk.knn_graph(self._postings("compounds"), k)
+
+    def compound_layout(self, k: int = 25, most: int = 200_000, **settings) -> DataFrame:
+        """(comp_id, x, y): a 2-D layout of the neighbour graph by the package umap, on the driver.
+
+        More than ``most`` compounds raise ``ValueError``; without the package a ``RuntimeError`` says so.
+        """
+        umap = external("umap", "the layout")
+        n = self.table("compounds").count()
+        if n > most:
+            raise ValueError(f"{n} compounds are more than {most}")
+        edges = self.compound_graph(k).toPandas()
+        names = sorted(edges["node"].unique())
+        place = {c: i for i, c in enumerate(names)}
+        near, far = np.zeros((len(names), k), dtype=np.int64), np.ones((len(names), k))
+        for node, rank, neighbour, distance in edges[["node", "rank", "neighbour", "distance"]].itertuples(index=False):
+            near[place[node], rank - 1], far[place[node], rank - 1] = place[neighbour], distance
+        xy = umap.UMAP(n_neighbors=k, precomputed_knn=(near, far, None), **settings).fit_transform(np.zeros((len(names), 1)))
+        return self.spark.createDataFrame([(c, float(x), float(y)) for c, (x, y) in zip(names, xy, strict=True)], "comp_id string, x double, y double")
 
     def close(self) -> None:
         for n in self.store.manifest["tables"]:

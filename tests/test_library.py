@@ -9,6 +9,7 @@ from ionquarry.operators import topk
 from ionquarry.plans.library import create_library, load_library
 from ionquarry.plugins import external
 from ionquarry.sources import compounds, mgf
+from ionquarry.sources.memory import spectra_frame
 from ionquarry.streaming.ingest import ingest_spectra
 
 KEYS = ("AAAAAAAAAAAAAA-UHFFFAOYSA-N", "BBBBBBBBBBBBBB-UHFFFAOYSA-N")
@@ -155,3 +156,45 @@ def test_sparse_search(spark):
     assert topk.sparse(q.where("false"), bits, 3).count() == 0
     with pytest.raises(Exception, match="negative"):
         topk.sparse(q.withColumn("value", F.lit(-1.0)), bits, 3).collect()
+
+
+def test_spectra_from_values(spark):
+    one = spectra_frame(spark, {"mz": [2.0, 1.0], "intensities": [5.0, 6.0], "precursor_mz": "12.5", "collision_energy": 35.0, "ionmode": ""}).first()
+    assert ([tuple(p) for p in one.peaks], one.precursor_mz, one.collision_energy, one.ionmode) == ([(1.0, 6.0), (2.0, 5.0)], 12.5, "35.0", None)
+    assert spectra_frame(spark, []).count() == 0
+    for bad in ({"mz": [1.0], "intensities": []}, "text", [1], 5):
+        with pytest.raises(ValueError):
+            spectra_frame(spark, bad)
+
+
+def test_writers_and_indexes(spark, library):
+    with pytest.raises(ValueError):
+        library.upsert_many([{"inchikey": KEYS[0], "smiles": "never"}, {"inchikey": "short"}])
+    assert library.compound(KEYS[0][:14])["smiles"] != "never"
+    assert library.upsert_compound(inchikey="EEEEEEEEEEEEEE-X", smiles="CO", fp_bits=[1, 4294967295], fp_values=[1.0, 2.0]) == "E" * 14
+    library.upsert_compound(inchikey="EEEEEEEEEEEEEE-Y", smiles=None, fp_bits=[])
+    row = library.fingerprints_by_ids(["E" * 14, "none"]).collect()
+    assert row[0].fp_bits == [1, 4294967295] and row[1].fp_bits is None and library.compound("E" * 14)["smiles"] == "CO"
+    assert [r.comp_id for r in library.compounds_by_ids(["E" * 14, KEYS[0][:14], "E" * 14, "none"]).collect()] == [KEYS[0][:14], "E" * 14]
+    library.link_many([("a", "E" * 14), ("a", "F" * 14)])
+    assert [r.comp_id for r in library.all_mappings().where("spec_id = 'a'").collect()] == ["F" * 14]
+    with pytest.raises(ValueError):
+        library.link("a", "short")
+    ids = [r.spec_id for r in library.table("embeddings").limit(2).collect()]
+    plain = library.query_by_spec_ids(ids, 3).orderBy("query_ix", "rank").collect()
+    asked = spark.createDataFrame([(0, [1], [1.0])], "pos long, fp_bits array<bigint>, fp_values array<float>")
+    near = library.query_compounds_by_compounds(asked, 2).collect()
+    assert near[0].comp_id == "E" * 14
+    assert library.build_embedding_index() == library.table("embeddings").count() and library.build_fingerprint_index() >= 3
+    back = load_library(spark, library.store.folder)
+    again = back.query_by_spec_ids(ids, 3).orderBy("query_ix", "rank").collect()
+    assert [(r.query_ix, r.spec_id) for r in again] == [(r.query_ix, r.spec_id) for r in plain]
+    assert back.query_compounds_by_compounds(asked, 2).collect() == near
+    graph = back.compound_graph(3).where("rank = 1").collect()
+    assert all(r.node == r.neighbour and r.distance == 0 for r in graph)
+    with pytest.raises(ValueError, match="No rows"):
+        library.build_embedding_index("WHERE spec_id = 'nothing'")
+    with pytest.raises(RuntimeError, match="umap"):
+        back.compound_layout()
+    assert library.unique_compounds(spark.createDataFrame([(KEYS[0][:14], 1)], "inchikey14 string, tag int")).where("tag = 1").count() == 1
+    assert library.compute_missing_embeddings(only_missing=False) == library.table("spectra").count()
