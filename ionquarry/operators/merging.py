@@ -7,14 +7,16 @@ greedy cosine reaches the threshold are linked, and each connected component
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import inchikey14, present
 from ..functions.vectors import sum_normalized
-from ..schema import COMBINED, FROM_FIRST
+from ..schema import COMBINED, FROM_FIRST, PEAKS
 from ..settings import MergeSettings
 from .aggregate import median_or_first, vote
 from .components import components
@@ -72,20 +74,33 @@ def consensus_peaks(mz: np.ndarray, intensity: np.ndarray, spectrum: np.ndarray,
 def consensus(members: DataFrame, mz_tol: float = 0.01, min_frac: float = 0.25, cluster: str = "cluster_id", pos: str = "pos") -> DataFrame:
     """(cluster_id, num_merged, peaks): a lone spectrum is sum-normalised, others are merged."""
     kind = members.schema[cluster].dataType.simpleString()
-    own = members.select(F.col(cluster).alias("cluster_id"), F.col(pos).alias("pos"), sum_normalized(F.col("peaks")).alias("peaks"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        n = len(pdf)
-        lists = [list(p) if p is not None else [] for p in pdf["peaks"]]
-        mz = np.array([p["mz"] for ps in lists for p in ps], dtype=float)
-        x = np.array([p["intensity"] for ps in lists for p in ps], dtype=float)
-        if n > 1 and len(mz):
-            mz, x = consensus_peaks(mz, x, np.repeat(np.arange(n), [len(p) for p in lists]), n, mz_tol, min_frac)
-        peaks = [{"mz": a, "intensity": b} for a, b in zip(mz.tolist(), x.tolist(), strict=True)]
-        return pd.DataFrame({"cluster_id": [pdf["cluster_id"].iloc[0]], "num_merged": [n], "peaks": [peaks]})
-
-    return own.groupBy("cluster_id").applyInPandas(run, f"cluster_id {kind}, num_merged int, peaks array<struct<mz:double,intensity:double>>")
+    own = members.select(F.col(cluster).alias("cluster_id"), F.col(pos).alias("pos"), F.coalesce(sum_normalized(F.col("peaks")), F.array().cast(PEAKS)).alias("peaks"))
+    # A row per cluster, its peaks pooled: as long as its spectra.
+    pooled = own.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("pos", "peaks"))).alias("s"))
+    flat = lambda f: F.flatten(F.transform("s", f))
+    pooled = pooled.select(
+        "cluster_id",
+        F.size("s").alias("n"),
+        flat(lambda x: F.transform(x["peaks"], lambda p: p["mz"])).alias("mz"),
+        flat(lambda x: F.transform(x["peaks"], lambda p: p["intensity"])).alias("intensity"),
+        flat(lambda x, i: F.transform(x["peaks"], lambda _: i)).alias("spectrum"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1).to_pylist()
+            cuts = (b.column(2).offsets.to_numpy() - b.column(2).offsets[0].as_py()).tolist()
+            mz, x, s = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            out = []
+            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                got = mz[lo:hi], x[lo:hi]
+                out.append(consensus_peaks(*got, s[lo:hi], n[i], mz_tol, min_frac) if n[i] > 1 and hi > lo else got)
+            offsets = np.cumsum([0, *[len(o[0]) for o in out]]).astype(np.int32)
+            both = [np.concatenate([o[j] for o in out]) if out else np.empty(0) for j in (0, 1)]
+            peaks = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in both], ["mz", "intensity"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), peaks], names=["cluster_id", "num_merged", "peaks"])
+
+    return pooled.mapInArrow(run, f"cluster_id {kind}, num_merged int, peaks {PEAKS.simpleString()}")
 
 
 def combined_metadata(members: DataFrame, policy: str = "concat", cluster: str = "cluster_id", pos: str = "pos") -> DataFrame:

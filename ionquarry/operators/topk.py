@@ -6,8 +6,10 @@ library partition, which answers with its own k best; else queries and library
 are dealt to blocks and each pair of blocks is one task.  A window with a
 group limit merges either way.
 
-Sparse: an equi-join on bits adds up the minima, so only pairs that share a bit
-are looked at.
+Sparse: exact search scans library rows in place against broadcast queries (in
+rounds of bounded size), so nothing but k rows a query and partition is shuffled.
+Pair tables and candidate searches are equi-joins on bits that add up minima, so
+only pairs that share a bit are looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tanimoto import tanimoto_from_minimum
+from ..storage import written
 from .aggregate import best_per_group, l1_norms
 
 #: Bytes of queries that may be broadcast, and rows of a block beyond that.
@@ -56,7 +59,7 @@ def _best(ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 def dense(queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix", item: str = "spec_id", vec: str = "vec", broadcast: int = BROADCAST) -> DataFrame:
     """(query, rank, item, score): cosine, best first.  Both sides carry ``vec``; zero vectors score 0."""
     spark = library.sparkSession
-    q = queries.select(F.col(query).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v"))
+    q = written(queries.select(F.col(query).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v")), "queries")
     lib = library.select(F.col(item).alias("item"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
     kind = lib.schema["item"].dataType.simpleString()
     shape = q.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v"))).first()
@@ -109,7 +112,7 @@ def dense_best(queries: DataFrame, library: DataFrame, query: str = "query_ix",
     ``BROADCAST``); a library partition answers with one row per query and group.
     """
     spark = library.sparkSession
-    q = queries.select(F.col(query).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v"))
+    q = written(queries.select(F.col(query).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v")), "queries")
     shape = q.agg(F.count("*"), F.max(F.size("v"))).first()
     lib = library.select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
     kinds = [lib.schema[c].dataType.simpleString() for c in ("g", "item")]
@@ -165,6 +168,62 @@ def non_negative(bits: DataFrame) -> DataFrame:
     return bits.withColumn("value", F.when(F.col("value") >= 0, F.col("value")).otherwise(bad))
 
 
+def _rounds(frame: DataFrame, key: str, most: int) -> Iterator[pd.DataFrame]:
+    """A frame (key, bit, value) on the driver, in parts of at most about ``most`` bytes."""
+    parts = max(1, -(-frame.count() * 24 // most))
+    for part in range(parts):
+        some = frame if parts == 1 else frame.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+        held = some.toPandas()
+        if not held.empty:
+            yield held.sort_values([key, "bit"], kind="stable")
+
+
+def scan(queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix", item: str = "comp_id", broadcast: int = BROADCAST) -> DataFrame:
+    """(query, rank, item, score) by Tanimoto over all that share a bit, exactly; inputs are (id, bit, value)."""
+    spark = library.sparkSession
+    kinds = [queries.schema[query].dataType.simpleString(), library.schema[item].dataType.simpleString()]
+    schema = f"{query} {kinds[0]}, {item} {kinds[1]}, score double"
+    # One row an item: as long as its fingerprint.
+    pairs = F.collect_list(F.struct("bit", F.col("value").cast("double").alias("value")))
+    rows = library.groupBy(F.col(item).alias("item")).agg(pairs.alias("p")).select("item", F.col("p.bit").alias("bits"), F.col("p.value").alias("vals"))
+    best = None
+    # Written once: its size is looked at before it is read, and it may be long in the making.
+    asked = written(queries.select(query, F.col("bit").cast("long").alias("bit"), F.col("value").cast("double").alias("value")), "queries")
+    for held in _rounds(asked, query, broadcast):
+        names, starts = np.unique(held[query].to_numpy(), return_index=True)
+        shared = spark.sparkContext.broadcast((names, [*starts.tolist(), len(held)], held["bit"].to_numpy(), held["value"].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, cuts, q_bits, q_values = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                lists, values = b.column(1), b.column(2).flatten().to_numpy(zero_copy_only=False)
+                at = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+                known, place = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                l1, ids = np.add.reduceat(np.abs(values), at), np.array(b.column(0).to_pylist())
+                for i, name in enumerate(names.tolist()):
+                    bits, x = q_bits[cuts[i] : cuts[i + 1]], q_values[cuts[i] : cuts[i + 1]]
+                    spot = np.minimum(np.searchsorted(known, bits), len(known) - 1)
+                    hit = known[spot] == bits
+                    full = np.zeros(len(known))
+                    np.add.at(full, spot[hit], x[hit])
+                    low = np.add.reduceat(np.minimum(values, full[place]), at)
+                    some = np.flatnonzero(low > 0)
+                    if len(some):
+                        score = np.round(low[some] / np.maximum(np.abs(x).sum() + l1[some] - low[some], 1e-12), DIGITS)
+                        _, c = _best(ids[some], score[None, :], k)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * len(c)), b.column(0).take(pa.array(some[c])), pa.array(score[c])], names=[query, item, "score"]
+                        )
+
+        part = rows.mapInArrow(run, schema)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return spark.createDataFrame([], f"{query} {kinds[0]}, rank int, {item} {kinds[1]}, score double")
+    return ranked(best, k, query, item).select(query, "rank", item, "score")
+
+
 def sparse(
     queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix", item: str = "comp_id", re_rank: bool = True,
     candidate_multiplier: int | None = None,
@@ -178,18 +237,17 @@ def sparse(
     """
     queries, library = non_negative(queries), non_negative(library)
     if re_rank and candidate_multiplier is None:
-        scored = tanimoto_pairs(queries, library, query, item)
-    else:
-        size = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias(name))
-        pairs = minima(queries, library, query, item).join(size(queries, query, "na"), query).join(size(library, item, "nb"), item)
-        pairs = pairs.where("na > 0 and nb > 0").withColumn("score", F.round(F.col("dot") / (F.col("na") * F.col("nb")), DIGITS))
-        if not re_rank:
-            return ranked(pairs, k, query, item).select(query, "rank", item, "score")
-        fetch = max(k, k * candidate_multiplier)
-        near = ranked(pairs, fetch, query, item).select(query, item, "smin")
-        l1 = l1_norms(queries, query).withColumnRenamed("l1", "l1_a")
-        near = near.join(l1, query).join(l1_norms(library, item).withColumnRenamed("l1", "l1_b"), item)
-        scored = near.select(query, item, tanimoto_from_minimum(F.col("smin"), F.col("l1_a"), F.col("l1_b")).alias("score"))
+        return scan(queries, library, k, query, item)
+    size = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias(name))
+    pairs = minima(queries, library, query, item).join(size(queries, query, "na"), query).join(size(library, item, "nb"), item)
+    pairs = pairs.where("na > 0 and nb > 0").withColumn("score", F.round(F.col("dot") / (F.col("na") * F.col("nb")), DIGITS))
+    if not re_rank:
+        return ranked(pairs, k, query, item).select(query, "rank", item, "score")
+    fetch = max(k, k * candidate_multiplier)
+    near = ranked(pairs, fetch, query, item).select(query, item, "smin")
+    l1 = l1_norms(queries, query).withColumnRenamed("l1", "l1_a")
+    near = near.join(l1, query).join(l1_norms(library, item).withColumnRenamed("l1", "l1_b"), item)
+    scored = near.select(query, item, tanimoto_from_minimum(F.col("smin"), F.col("l1_a"), F.col("l1_b")).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", DIGITS)), k, query, item).select(query, "rank", item, "score")
 
 
@@ -198,9 +256,9 @@ def knn_graph(bits: DataFrame, k: int, item: str = "comp_id") -> DataFrame:
 
     Nodes that share no bit are at distance 1 and not listed.
     """
-    nodes = bits.withColumnRenamed(item, "node")
-    pairs = tanimoto_pairs(nodes, bits.withColumnRenamed(item, "neighbour"), "node", "neighbour").where("node <> neighbour")
-    edges = pairs.select("node", "neighbour", F.round(1 - F.col("score"), DIGITS).alias("distance"), F.lit(1).alias("other"))
+    # Among the k best there is at most one row for the node itself, so k - 1 others are there.
+    near = scan(bits.withColumnRenamed(item, "node"), bits.withColumnRenamed(item, "neighbour"), k, "node", "neighbour").where("node <> neighbour")
+    edges = near.select("node", "neighbour", F.round(1 - F.col("score"), DIGITS).alias("distance"), F.lit(1).alias("other"))
     own = bits.select(F.col(item).alias("node")).distinct().select("node", F.col("node").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("other"))
     order = Window.partitionBy("node").orderBy("other", "distance", "neighbour")
     return own.union(edges).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("node", "rank", "neighbour", "distance")

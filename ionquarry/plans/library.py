@@ -19,6 +19,7 @@ from ..settings import FingerprintSettings, MergeSettings
 from ..sources import compounds as compound_files
 from ..sources import mgf
 from ..sources.tables import TableStore
+from ..storage import written
 
 #: Statements that ``sql`` accepts start with one of these words.
 READS = ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "(", "DESCRIBE", "SHOW", "EXPLAIN")
@@ -44,6 +45,7 @@ def analogue_search(
     near = topk.sparse(asked, bits, k_neighbours).select("query_ix", "comp_id")
     spectra = near.join(mapping, "comp_id").join(embeddings.select("spec_id", "vec"), "spec_id").join(queries.select("query_ix", F.col("vec").alias("q")), "query_ix")
     scores = spectra.groupBy("query_ix", "comp_id").agg(F.round(F.max(cosine(F.col("q"), F.col("vec"))), topk.DIGITS).alias("s"))
+    scores = written(scores, "neighbours")
     total = scores.groupBy("query_ix").agg(aggregate.weighted_average_score(F.col("s")).alias("weighted_average_score"), F.sum("s").alias("total")).where("total > 0")
     weights = scores.join(total.select("query_ix"), "query_ix", "left_semi").select("query_ix", "comp_id", F.col("s").alias("weight"))
     parts = weights.select("query_ix", "comp_id").join(bits, "comp_id")

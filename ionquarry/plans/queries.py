@@ -11,6 +11,7 @@ from ..functions import fingerprints, keys, tanimoto, vectors
 from ..operators import aggregate, lookup, merging, peaks, topk, writes
 from ..operators.components import components
 from ..settings import MergeSettings
+from ..storage import written
 from .library import analogue_search
 from .views import view, with_views
 
@@ -493,7 +494,7 @@ fs as (select sm.query_ix, sm.comp_id, round(smin / (ml.l1 + n.l1 - smin), 10) a
 fr as (select *, row_number() over (partition by query_ix order by score desc, comp_id) as rank from fs)
 select fr.query_ix, cast(rank as integer) as rank, comp_id, round(score, 5) as score, round(was, 5) as weighted_average_score from fr join tt on fr.query_ix = tt.query_ix where rank <= 5""")
 def analogue_search_topk(v):
-    e, fp = v("v_embeddings"), v("v_fp")
+    e, fp = v("v_embeddings"), written(v("v_fp"), "fingerprints")  # read by five of its steps
     out = analogue_search(e.withColumnRenamed("pos", "query_ix").select("query_ix", "vec"), e.select("spec_id", "vec"), v("v_emb_map"), fp, fp, 5)
     return out.withColumns({c: F.round(c, 5) for c in ("score", "weighted_average_score")})
 
