@@ -70,7 +70,7 @@ def dense(queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix
         return spark.createDataFrame([], f"{query} long, rank int, {item} {kind}, score double")
     schema = f"{query} long, {item} {kind}, score double"
     if shape[0] * (shape[1] or 1) * 8 <= broadcast:
-        held = q.toPandas()  # its size was checked
+        held = q.toArrow().to_pandas()  # its size was checked
         shared = spark.sparkContext.broadcast((held["q"].to_numpy(), _unit(np.stack(held["v"].to_list()))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def dense_best(queries: DataFrame, library: DataFrame, query: str = "query_ix",
     parts = max(1, -(-shape[0] * (shape[1] or 1) * 8 // BROADCAST))
     best = None
     for part in range(parts):
-        held = q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toPandas()  # at most about BROADCAST bytes
+        held = q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toArrow().to_pandas()  # at most about BROADCAST bytes
         if held.empty:
             continue
         shared = spark.sparkContext.broadcast((held["q"].to_numpy(), _unit(np.stack(held["v"].to_list()))))
@@ -173,7 +173,7 @@ def _rounds(frame: DataFrame, key: str, most: int) -> Iterator[pd.DataFrame]:
     parts = max(1, -(-frame.count() * 24 // most))
     for part in range(parts):
         some = frame if parts == 1 else frame.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        held = some.toPandas()
+        held = some.toArrow().to_pandas()
         if not held.empty:
             yield held.sort_values([key, "bit"], kind="stable")
 
