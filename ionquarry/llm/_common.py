@@ -1,83 +1,23 @@
-"""Shared plumbing: scratch storage that every executor sees, and text helpers."""
+"""Helpers of the operators: worker files, batches of bounded size, word hashes."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import functools
 import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOTS: dict[str, str] = {}
+from ..storage import discard, release_shuffles, scratch, written
 
+__all__ = ["WordIds", "bounded_batches", "discard", "open_fs", "release_shuffles", "scratch", "shuffle_parts", "slices", "table", "trimmed", "written"]
 
-def shared_root(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, as a full URI.
-
-    The setting is read from the session; only where it is unset (tests, a
-    laptop) is a folder chosen here.  The tree is removed when Python exits.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="ionquarry-")
-            spark.sparkContext.setCheckpointDir(base)
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/ionquarry-{app}")
-        fs = path.getFileSystem(conf)
-        fs.mkdirs(path)
-        full = fs.makeQualified(path).toString()
-        full = "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
-        _ROOTS[app] = full
-        atexit.register(_forget, spark, full)
-    return _ROOTS[app]
-
-
-def _forget(spark: SparkSession, uri: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        remove(spark, uri)
-
-
-def remove(spark: SparkSession, uri: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder URI for files that executors write themselves."""
-    uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    return uri
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder.
-
-    Unlike a cached or locally checkpointed frame it survives lost executors,
-    and it freezes whatever depends on how the rows were dealt to tasks.
-    """
-    spark = df.sparkSession
-    uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(uri)
-    out = spark.read.schema(df.schema).parquet(uri)
-    out._ionquarry_uri = uri
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame from :func:`written` once nothing reads it."""
-    remove(df.sparkSession, df._ionquarry_uri)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files that no live frame refers to."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+#: Text bytes that a worker takes up at once, and rows of an Arrow batch.
+BYTES, ROWS = 8 << 20, 2000
 
 
 def open_fs(uri: str):
@@ -95,6 +35,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of fewer rows than by default: whole texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a string or binary column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends, before + most, side="right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """A worker function that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def call(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return call
+
+
 class WordIds(dict):
     """word (bytes) -> 64-bit hash, computed once per distinct word.
 

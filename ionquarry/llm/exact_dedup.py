@@ -33,8 +33,8 @@ from ._common import release_shuffles, shuffle_parts, written
 #: The white space that does not count, as in [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 HEAD = 64
-#: Sampled keys for each bucket, and buckets for each shuffle partition.
-SAMPLED, BUCKETS = 20, 4
+#: Sampled keys for each bucket, buckets for each shuffle partition, and the most of them: the splitters are part of the plan.
+SAMPLED, BUCKETS, MOST_BUCKETS = 20, 4, 32_768
 #: Where a doc_id is null, in the order of ids.
 NO_ID = 2**63 - 1
 
@@ -91,7 +91,7 @@ def _runs(docs: DataFrame, text: str, doc_id: str, carry: bool) -> DataFrame:
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
     head, parts = F.left(F.col("norm"), F.lit(HEAD)), shuffle_parts(spark)
-    splitters = _splitters(rows.select(head, "sha", "ord"), BUCKETS * parts, docs.count())
+    splitters = _splitters(rows.select(head, "sha", "ord"), min(BUCKETS * parts, MOST_BUCKETS), docs.count())
     dealt = rows.withColumn("bucket", _bucket(head, F.col("sha"), F.col("ord"), splitters)).repartition(parts, "bucket")
     line = Window.partitionBy("bucket").orderBy(head, "sha", "norm", F.desc("points"), "ord")
     return (

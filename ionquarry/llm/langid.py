@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, written
+from ._common import bounded_batches, discard, slices, trimmed, written
 
 DIMENSIONS = 8192
 CENTROIDS, ROUNDS = 4, 8
@@ -95,6 +95,7 @@ def fit(
     centroids: int = CENTROIDS, most: int = MOST_PER_LANGUAGE, reject: float = 1.0,
 ) -> Model:
     """Learn from the rows given: their text and language."""
+    bounded_batches(training.sparkSession)
     rows = training.select(
         F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")
     ).where("lang is not null and text is not null")
@@ -108,7 +109,7 @@ def fit(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The chosen rows' counts (dimension -1), then the task's document frequencies."""
         df, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, 2)):
             kept = []
             for k, name, t, chosen in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if not has_letter(t):
@@ -126,12 +127,12 @@ def fit(
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), kinds, strict=True)], names=["d", "df", "k", "lang", "x"])
 
-    made = written(rows.mapInArrow(run, "d int, df long, k long, lang string, x binary"), "ngrams")
+    made = written(rows.mapInArrow(trimmed(run), "d int, df long, k long, lang string, x binary"), "ngrams")
     df = np.zeros(DIMENSIONS + 1)
     for r in made.where("d >= 0").groupBy("d").agg(F.sum("df").alias("df")).collect():  # one row a dimension
         df[r["d"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
-    chosen = made.where("d = -1").select("lang", "k", "x").toPandas()  # bounded by ``most`` for each language
+    chosen = made.where("d = -1").select("lang", "k", "x").toArrow().to_pandas()  # bounded by ``most`` for each language
     discard(made)
     names, cs = [], []
     for name in sorted(chosen["lang"].unique()):
@@ -145,11 +146,12 @@ def fit(
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score, rejected): a row per row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages * CENTROIDS * DIMENSIONS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, 1)):
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 texts = part.column(1).to_pylist()
@@ -168,4 +170,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, lang_pred string, score double, rejected boolean")

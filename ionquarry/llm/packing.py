@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import release_shuffles, written
-from .tokens import TOKENIZER, encoder, slices
+from ._common import bounded_batches, release_shuffles, slices, trimmed, written
+from .tokens import TOKENIZER, encoder
 
 SEQUENCE, END_ID = 2048, 1
 #: Gaps from this many ids are filled by cutting.
@@ -187,7 +187,7 @@ def _cut(docs: DataFrame, tokenizer: str, end_id: int, sequence: int, text: str,
                 )
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "part int, doc_id long, ids binary, width int, n_ids long, rest int, rank long, full_before long")
+    return rows.mapInArrow(trimmed(run), "part int, doc_id long, ids binary, width int, n_ids long, rest int, rank long, full_before long")
 
 
 def pack(
@@ -196,6 +196,7 @@ def pack(
 ) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): a row per piece; ``ids`` is a string of 32-bit integers."""
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     cut = written(_cut(docs, tokenizer, end_id, sequence, text, doc_id), "cut")
     release_shuffles(spark)
     by_part = cut.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n_ids") / sequence)).alias("full"))
@@ -231,4 +232,4 @@ def pack(
         "doc_id", "ids", "width", "n_ids", "rest",
         (F.col("rank") + F.col("firsts")[F.col("rest")]).alias("rank"), (F.col("full_before") + F.col("full_first")).alias("before"),
     )
-    return placed.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
+    return placed.mapInArrow(trimmed(run), ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))

@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release_shuffles, shuffle_parts, written
-from .components import components
+from ._common import bounded_batches, release_shuffles, shuffle_parts, slices, trimmed, written
+from ..operators.components import components
 
 SEED = 42
 #: Generator polynomial of the binary Golay code and its parameters (fixed values).
@@ -71,12 +71,13 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: st
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, 1)):
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _syndrome(block: np.ndarray) -> np.ndarray:
@@ -132,7 +133,7 @@ def links(nodes: DataFrame) -> DataFrame:
                         names=["anchor", "fp", "home"],
                     )
 
-    dealt = written(nodes.mapInArrow(replicate, "anchor int, fp long, home boolean"), "anchors")
+    dealt = written(nodes.mapInArrow(trimmed(replicate), "anchor int, fp long, home boolean"), "anchors")
     homes = dealt.where("home").select("anchor", F.col("fp").alias("a"))
     pairs = homes.join(dealt.select("anchor", F.col("fp").alias("b")), "anchor")
     return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordIds, discard, release_shuffles, written
+from ._common import WordIds, bounded_batches, discard, release_shuffles, slices, trimmed, written
 
 #: A perfect difference set: every non-zero residue mod 31 is one difference of it (fixed values).
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -83,7 +83,7 @@ def on_cover(n: int) -> np.ndarray:
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling(1, 0x9E3779B97F4A7C15)
-    for b in batches:
+    for b in (s for batch in batches for s in slices(batch, 1)):
         counts, shas, hashes = [], [], []
         for text in b.column(1).to_pylist():
             words = split(text)
@@ -102,7 +102,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows that hold a matching anchor."""
     one, two = Rolling(1, 0x9E3779B97F4A7C15), Rolling(2, 0xC2B2AE3D27D4EB4F)
-    for b in batches:
+    for b in (s for batch in batches for s in slices(batch, 2)):
         for ord_, sha, text, hits in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             words = split(text)
             if hashlib.sha256(b" ".join(words)).digest() != sha:
@@ -134,7 +134,7 @@ def covered(n_words: int, starts: list[int]) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (s for batch in batches for s in slices(batch, 2)):
         removed, kept = [], []
         shas = b.column(1).to_pylist()
         for sha, text, starts in zip(shas, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -155,10 +155,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """(a row per document: ord, doc_id, n_words, sha, rep), (cut texts: rep, sha, rep_removed, kept_text)."""
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("ord"), F.col(f"`{text}`").alias("text")
     )
-    whole = written(rows.mapInArrow(_anchored, "ord long, n_words long, sha binary, anchors array<long>"), "anchored")
+    whole = written(rows.mapInArrow(trimmed(_anchored), "ord long, n_words long, sha binary, anchors array<long>"), "anchored")
     # One row for each word sequence; equal sequences have equal anchors.
     reps = whole.where(f"n_words >= {WINDOW}").groupBy("sha").agg(F.min("ord").alias("rep"), F.first("anchors").alias("anchors"))
     reps = written(reps, "sequences")
@@ -175,7 +176,7 @@ def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataF
     near = written(rows.join(hits, rows["ord"] == hits["rep"]).select("ord", "sha", "text", "hits"), "near")
     discard(hits)
     release_shuffles(spark)
-    windows = written(near.mapInArrow(_windows, "h long, g long, ord long, at int"), "windows")
+    windows = written(near.mapInArrow(trimmed(_windows), "h long, g long, ord long, at int"), "windows")
     # Half of the hashes at a time, so that half as much is shuffled at once.
     rounds = []
     for half in range(2):
@@ -186,7 +187,7 @@ def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataF
     discard(windows)
     starts = rounds[0].union(rounds[1]).groupBy("ord").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = near.select("ord", "sha", "text").join(starts, "ord").select("ord", "sha", "text", "starts")
-    cut = cut.mapInArrow(_cut, "rep long, sha binary, rep_removed long, kept_text string").where("rep_removed is not null")
+    cut = cut.mapInArrow(trimmed(_cut), "rep long, sha binary, rep_removed long, kept_text string").where("rep_removed is not null")
     cut = written(cut, "cut").dropDuplicates(["rep", "sha"])
     discard(near)
     release_shuffles(spark)

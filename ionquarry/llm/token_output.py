@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import open_fs, scratch, shuffle_parts, written
-from .tokens import TOKENIZER, encoder, slices
+from ._common import bounded_batches, open_fs, scratch, shuffle_parts, slices, trimmed, written
+from .tokens import TOKENIZER, encoder
 
 SEQUENCE, BATCH, END_ID = 2048, 256, 0
 MANIFEST = "shard int, path string, docs_path string, n_sequences long, n_tokens long, n_docs long"
@@ -142,6 +142,7 @@ def write(
     text: str = "text", doc_id: str = "doc_id",
 ) -> Dataset:
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     uri = uri or scratch(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def write(
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     dealt = rows.repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(dealt.mapInArrow(run, MANIFEST), "manifest")
+    manifest = written(dealt.mapInArrow(trimmed(run), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return Dataset(uri, manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))))
 
@@ -191,4 +192,4 @@ def read(data: Dataset) -> DataFrame:
 
     spark: SparkSession = data.manifest.sparkSession
     shards = data.manifest.select("path", "docs_path", "first").repartition(shuffle_parts(spark))
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -23,8 +23,10 @@ TOKENIZER = "byte_bpe_50k.json"
 #: White space in the sense of the split pattern, and a space inside or at the end of a run of it.
 _W = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _INSIDE = rf"{_W} (?:{_W}|\z)"
-#: Parts remembered in a worker (the memo is emptied beyond that), and text bytes worked on at once.
-BOUND, BYTES = 2_000_000, 8 << 20
+#: Parts remembered in a worker; the memo is emptied beyond that.
+BOUND = 1_000_000
+#: Parts whose ids are gathered at once.
+GATHERED = 100_000
 _BYTES = methodcaller("encode", "utf-8", "surrogatepass")
 
 
@@ -119,7 +121,11 @@ class Encoder:
         starts, sizes = self._parts([" " + n for n in names] + [names[i] for i in lead.tolist()])
         flat, lengths = self.memo.blob, sizes[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        gathered = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], lengths)]
+        gathered = np.empty(ends[-1], self.dtype)
+        for at in range(0, len(codes), GATHERED):
+            part = slice(at, at + GATHERED)
+            a, b = ends[at], ends[min(at + GATHERED, len(codes))]
+            gathered[a:b] = flat[np.arange(a, b) + np.repeat(starts[codes[part]] - ends[:-1][part], lengths[part])]
         cuts = ends[bounds].tolist()
         out = [gathered[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
         at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
@@ -137,14 +143,3 @@ def encoder(tokenizer: str) -> Encoder:
     if tokenizer not in _ENCODERS:
         _ENCODERS[tokenizer] = Encoder(tokenizer)
     return _ENCODERS[tokenizer]
-
-
-def slices(batch: pa.RecordBatch, column: int, most: int = BYTES):
-    """The batch in slices of about ``most`` bytes of a string or binary column, a row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, at = np.cumsum(sizes), 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        n = max(1, int(np.searchsorted(ends, before + most, side="right")) - at)
-        yield batch.slice(at, n)
-        at += n

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordIds, written
+from ._common import WordIds, bounded_batches, slices, trimmed, written
 
 DIMENSIONS = 1 << 20
 MOST_LABELLED, MOST_POSITIVE = 16_000, 6_000
@@ -117,6 +117,7 @@ def fit(
     most: int = MOST_LABELLED, most_positive: int = MOST_POSITIVE, epochs: int = EPOCHS, **settings: float,
 ) -> Model:
     """Learn from the rows of ``labels`` given here; hold rows out by leaving them out."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{label}`").cast("int").alias("y"))
     known = known.where("k is not null and y in (0, 1)")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -133,11 +134,11 @@ def fit(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, 3)):
             sets = [np.unique(features.of(t)).astype("<u4").tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], names=["k", "y", "spot", "at"])
 
-    sets = found.mapInArrow(extract, "k long, y int, spot double, at binary")
+    sets = found.mapInArrow(trimmed(extract), "k long, y int, spot double, at binary")
     sets = written(sets.orderBy("spot", "k", "y").limit(most), "labelled")
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(s, k, y, a) for b in batches for k, y, s, a in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
@@ -156,7 +157,7 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([bias, *w.tolist()])], names=["at", "w"])
 
     # One task learns: its rows are bounded by ``most``.
-    learnt = sets.coalesce(1).mapInArrow(train, "at long, w double").toPandas()
+    learnt = sets.coalesce(1).mapInArrow(trimmed(train), "at long, w double").toArrow().to_pandas()
     at, w = learnt["at"].to_numpy(), learnt["w"].to_numpy()
     first = at == -1
     return Model(float(w[first].sum()), at[~first], w[~first])
@@ -164,6 +165,7 @@ def fit(
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score, predicted): a row per row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most DIMENSIONS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
         dense = np.zeros(m.dimensions, dtype=np.float64)
         dense[m.at] = m.weights
         used = dense != 0
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, 1)):
             out = np.empty(b.num_rows)
             for i, t in enumerate(b.column(1).to_pylist()):
                 at = features.of(t)
@@ -182,12 +184,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
             )
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model, reject: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``reject`` or more; each row is judged where it lies."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
     at_column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +199,11 @@ def clean(docs: DataFrame, model: Model, reject: float = 0.5, text: str = "text"
         dense[m.at] = m.weights
         used = dense != 0
         limit = np.log(reject / (1 - reject))
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, at_column)):
             sums = []
             for t in b.column(at_column).to_pylist():
                 at = features.of(t)
                 sums.append(m.bias + dense[np.unique(at[used[at]])].sum())
             yield b.filter(pa.array(np.array(sums) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import open_fs, release_shuffles, scratch, shuffle_parts, written
+from ._common import open_fs, release_shuffles, scratch, shuffle_parts, trimmed, written
 
 LEAST = 1000
 #: The date that goes into records; pages carry none.
@@ -85,11 +85,16 @@ class Archive:
     records: DataFrame
     large: DataFrame
     small: DataFrame
+    name: str  # of the large payloads' table in the catalog
 
     @property
     def payloads(self) -> DataFrame:
         return self.large.unionByName(self.small)
 
+    def drop(self) -> None:
+        """Take the table out of the catalog, once nothing reads the archive any more; its files go with the scratch folder."""
+        self.records.sparkSession.sql(f"drop table if exists {self.name}")
+
 
 def archive(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
     spark = pages.sparkSession
@@ -125,7 +130,7 @@ def archive(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url:
                 names=["record_id", "page_id", "type", "head", "sha256", "large"],
             )
 
-    records = written(told.mapInArrow(heads, "record_id string, page_id long, type string, head binary, sha256 string, large boolean"), "records")
+    records = written(told.mapInArrow(trimmed(heads), "record_id string, page_id long, type string, head binary, sha256 string, large boolean"), "records")
     # Equal digests are equal payloads: the first of each is stored (partial aggregation drops the rest before the shuffle).
     once = lambda some: rows.where(some).groupBy("sha256").agg(F.first("payload").alias("payload"))
     name = f"ionquarry_payloads_{uuid4().hex[:12]}"
@@ -133,7 +138,7 @@ def archive(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url:
     large.option("path", scratch(spark, "payloads")).mode("overwrite").saveAsTable(name)
     small = written(once(F.col("size") < least), "payloads")
     release_shuffles(spark)
-    return Archive(records, spark.table(name), small)
+    return Archive(records, spark.table(name), small, name)
 
 
 def reconstruct(store: Archive) -> DataFrame:
@@ -168,7 +173,7 @@ def write(store: Archive, uri: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [f"{uri}/{name}"], "records": pa.array([n], pa.int64())})
 
     rows = reconstruct(store).select("head", "payload", "sha256", "type")
-    return written(rows.mapInArrow(run, "path string, records long"), "warc-manifest")
+    return written(rows.mapInArrow(trimmed(run), "path string, records long"), "warc-manifest")
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -256,7 +261,7 @@ def read(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     files = manifest.select("path").repartition(shuffle_parts(manifest.sparkSession))
-    return files.mapInArrow(run, "record_id string, page_id long, type string, url string, sha1 string, size long, refers string, payload binary")
+    return files.mapInArrow(trimmed(run), "record_id string, page_id long, type string, url string, sha1 string, size long, refers string, payload binary")
 
 
 def resolved(records: DataFrame) -> DataFrame:
