@@ -12,7 +12,10 @@ threshold, the threshold being shared by the two blocks: about 61 anchors.  If
 x and y differ in e1 and e2 bits of the blocks, e1 + e2 <= 2, then x's home is
 within 3 + e1 and 3 + e2 of y, so y has a replica there and no link is lost.
 At each anchor homes are compared with replicas by Hamming distance over all
-64 bits, as an equi-join, which adaptive execution splits at hot anchors.
+64 bits, as an equi-join, which adaptive execution splits.  Where more than
+``HOT`` fingerprints crowd one anchor (very many near copies of one text), they are
+dealt to finer anchors instead, the trivial code of radius 0, and comparisons
+stay in proportion to their number.
 
 Work is done once for each distinct fingerprint; a fingerprint links to at most
 2 080 others, whatever the size of a group of copies.
@@ -42,6 +45,8 @@ SEED = 42
 #: Generator polynomial of the binary Golay code and its parameters (fixed values).
 GOLAY, LENGTH, RADIUS = 0xAE3, 23, 3
 THRESHOLD = 2
+#: Fingerprints at an anchor beyond which they are dealt to finer anchors.
+HOT = 20_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -117,8 +122,8 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return home.astype(np.int32), every
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints of ``nodes(fp)`` within the threshold, each once."""
+def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b): all pairs of distinct fingerprints of ``nodes(fp)`` within the threshold; a pair may come more than once."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,9 +139,18 @@ def links(nodes: DataFrame) -> DataFrame:
                     )
 
     dealt = written(nodes.mapInArrow(trimmed(replicate), "anchor int, fp long, home boolean"), "anchors")
-    homes = dealt.where("home").select("anchor", F.col("fp").alias("a"))
-    pairs = homes.join(dealt.select("anchor", F.col("fp").alias("b")), "anchor")
-    return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
+    crowded = written(dealt.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "crowded")
+    near = lambda p: p.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
+    calm = dealt.join(crowded, "anchor", "left_anti")
+    homes = calm.where("home").select("anchor", F.col("fp").alias("a"))
+    pairs = near(homes.join(calm.select("anchor", F.col("fp").alias("b")), "anchor"))
+    # At a crowded anchor every word of 64 bits is an anchor (covering radius 0): two fingerprints within 2 bits
+    # share a word within 1 bit of both, and no word has more than 65 of them.
+    some = dealt.join(crowded, "anchor", "left_semi").select("fp").distinct()
+    flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    words = written(some.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("word")), "words")
+    close = near(words.select("word", F.col("fp").alias("a")).join(words.select("word", F.col("fp").alias("b")), "word"))
+    return pairs.union(close)
 
 
 def classes(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

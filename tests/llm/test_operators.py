@@ -115,7 +115,8 @@ def test_simhash_classes(docs, rows):
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == ids
 
 
-def test_anchor_links_lose_nothing(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 40, 0])
+def test_anchor_links_lose_nothing(spark, hot):
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False))) for c in centres for _ in range(12)]
@@ -123,8 +124,8 @@ def test_anchor_links_lose_nothing(spark):
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     signed = fps.view(np.int64).tolist()
     want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
-    got = simhash.links(df).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    got = simhash.links(df, hot).collect()
+    assert {tuple(r) for r in got} == want
 
 
 def test_components(spark):
