@@ -20,6 +20,10 @@ __all__ = ["WordIds", "bounded_batches", "discard", "open_fs", "release_shuffles
 BYTES, ROWS = 8 << 20, 2000
 
 
+#: Parameters of the C library's mallopt (fixed values).
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
+
+
 def open_fs(uri: str):
     """(filesystem, path) for a URI, on any executor."""
     from pyarrow import fs
@@ -53,6 +57,18 @@ def slices(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[pa
         at += n
 
 
+@functools.cache
+def _lean() -> None:
+    """From now on, blocks of 1 MB and more go back to the system as soon as they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        libc.mallopt(M_TRIM_THRESHOLD, 1 << 20)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _give_back() -> None:
     """Return freed memory to the system: workers live on between tasks beside the executor."""
     pa.default_memory_pool().release_unused()
@@ -67,6 +83,7 @@ def trimmed(run: Callable) -> Callable:
 
     @functools.wraps(run)
     def call(batches: Iterator) -> Iterator:
+        _lean()
         try:
             yield from run(batches)
         finally:

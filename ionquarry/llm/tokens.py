@@ -24,9 +24,9 @@ TOKENIZER = "byte_bpe_50k.json"
 _W = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _INSIDE = rf"{_W} (?:{_W}|\z)"
 #: Parts remembered in a worker; the memo is emptied beyond that.
-BOUND = 1_000_000
-#: Parts whose ids are gathered at once.
-GATHERED = 100_000
+BOUND = 2_000_000
+#: Parts whose ids are gathered at once, and parts encoded at once.
+GATHERED, ENCODED = 100_000, 2000
 _BYTES = methodcaller("encode", "utf-8", "surrogatepass")
 
 
@@ -97,8 +97,8 @@ class Encoder:
         if len(new) + len(memo.keys) > self.bound:
             memo = self.memo = Memo(self.dtype)
             starts, sizes, new = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
+        for at in range(0, len(new), ENCODED):
+            some = new[at : at + ENCODED]
             ids = [e.ids for e in self.library.encode_batch_fast([parts[i] for i in some.tolist()], add_special_tokens=False)]
             sizes[some] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             flat = np.fromiter(chain.from_iterable(ids), dtype=self.dtype, count=int(sizes[some].sum()))
@@ -113,12 +113,17 @@ class Encoder:
         odd = pc.match_substring_regex(column, _INSIDE)
         split = pc.split_pattern(pc.if_else(odd, "", column), " ")
         words = split.flatten().dictionary_encode()
-        codes, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        codes, names = words.indices.to_numpy().copy(), words.dictionary.to_pylist()
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        del split, words  # as large as the texts
         # The first part of a text has no space before it.
         lead, place = np.unique(codes[bounds[:-1]], return_inverse=True)
         codes[bounds[:-1]] = len(names) + place
-        starts, sizes = self._parts([" " + n for n in names] + [names[i] for i in lead.tolist()])
+        first = [names[i] for i in lead.tolist()]
+        for i, n in enumerate(names):
+            names[i] = " " + n
+        starts, sizes = self._parts(names + first)
+        del names, first
         flat, lengths = self.memo.blob, sizes[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         gathered = np.empty(ends[-1], self.dtype)
