@@ -1,10 +1,12 @@
 import math
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ionquarry.functions import codecs, fingerprints, keys, tanimoto, vectors
-from ionquarry.operators import aggregate, lookup, writes
+from ionquarry.operators import aggregate, lookup, topk, writes
 from ionquarry.settings import FingerprintSettings, MergeSettings
 
 
@@ -156,3 +158,19 @@ def test_settings():
     with pytest.raises(TypeError):
         MergeSettings.of({"nonsense": 1})
     assert FingerprintSettings().n_bits == 4096
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 12), st.integers(1, 5), min_size=1, max_size=6), min_size=2, max_size=5))
+def test_tanimoto_is_symmetric_bounded_and_one_on_itself(spark, maps):
+    bits = spark.createDataFrame([(f"c{i}", b, float(v)) for i, m in enumerate(maps) for b, v in m.items()], "comp_id string, bit long, value double")
+    pairs = topk.tanimoto_pairs(bits.withColumnRenamed("comp_id", "query_ix"), bits)
+    got = {(r.query_ix, r.comp_id): r.score for r in pairs.collect()}
+    for (a, b), s in got.items():
+        assert s == pytest.approx(got[(b, a)]) and 0 < s <= 1 + 1e-12
+        low = sum(min(maps[int(a[1:])].get(k, 0), v) for k, v in maps[int(b[1:])].items())
+        high = sum(maps[int(a[1:])].values()) + sum(maps[int(b[1:])].values()) - low
+        assert s == pytest.approx(low / high)
+    assert all(got[(f"c{i}", f"c{i}")] == pytest.approx(1) for i in range(len(maps)))
+    best = topk.scan(bits.withColumnRenamed("comp_id", "query_ix"), bits, 2)
+    assert {(r.query_ix, r.comp_id): r.score for r in best.collect()}.items() <= {k: round(s, topk.DIGITS) for k, s in got.items()}.items()
