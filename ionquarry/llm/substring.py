@@ -14,7 +14,8 @@ doc_id, judged on the input.
    i + offset and j + offset on the cover; since 20 + 31 - 1 = 50, that anchor
    lies inside the window.  An anchor in one document only can't be in a match.
 3. Matching anchors are extended: 128-bit hashes of all windows that contain one
-   are compared, and the smallest doc_id of each hash decides.
+   are compared, and the smallest doc_id of each hash decides.  Starts belong to
+   a text, which has a number of its own: a doc_id may have several texts.
 
 Groups are aggregated with map-side partial minima and joined back, so a passage
 in a third of the documents is never gathered in one task; per-document lists
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordIds, bounded_batches, discard, release_shuffles, slices, trimmed, written
@@ -43,6 +44,8 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 WINDOW = 50
 GRAM = WINDOW - PERIOD + 1
 LAST = 2**63 - 1
+#: Bits of a word's position within a text; a text has under 2^31 bytes.
+AT_BITS = 31
 
 
 class Rolling:
@@ -103,10 +106,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows that hold a matching anchor."""
     one, two = Rolling(1, 0x9E3779B97F4A7C15), Rolling(2, 0xC2B2AE3D27D4EB4F)
     for b in (s for batch in batches for s in slices(batch, 2)):
-        for ord_, sha, text, hits in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for ord_, seq, text, hits in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             words = split(text)
-            if hashlib.sha256(b" ".join(words)).digest() != sha:
-                continue  # another row with this doc_id
             n = len(words) - WINDOW + 1
             spots = on_cover(len(words) - GRAM + 1)[np.unique(np.array(hits, dtype=np.int64))]
             edge = np.zeros(n + 1, dtype=np.int32)
@@ -118,9 +119,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(one.windows(words, WINDOW)[at].view(np.int64)),
                     pa.array(two.windows(words, WINDOW)[at].view(np.int64)),
                     pa.array(np.full(len(at), ord_)),
+                    pa.array(np.full(len(at), seq)),
                     pa.array(at.astype(np.int32)),
                 ],
-                names=["h", "g", "ord", "at"],
+                names=["h", "g", "ord", "seq", "at"],
             )
 
 
@@ -136,13 +138,8 @@ def covered(n_words: int, starts: list[int]) -> np.ndarray:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (s for batch in batches for s in slices(batch, 2)):
         removed, kept = [], []
-        shas = b.column(1).to_pylist()
-        for sha, text, starts in zip(shas, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for text, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             words = split(text)
-            if hashlib.sha256(b" ".join(words)).digest() != sha:
-                removed.append(None)
-                kept.append(None)
-                continue
             gone = covered(len(words), starts)
             removed.append(int(gone.sum()))
             kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8", "surrogatepass"))
@@ -152,6 +149,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sha(text: str) -> Column:
+    """SHA-256 of a text's words, joined by single spaces."""
+    words = F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    return F.unhex(F.sha2(words, 256))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """A table of the rows with ``seq``, numbers from 0 without gaps."""
+    held = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    firsts, at = [], 0
+    for p, n in sorted(held.groupBy(part.alias("p")).count().collect()):
+        firsts += [F.lit(p), F.lit(at)]
+        at += n
+    base = F.element_at(F.create_map(*firsts), part) if firsts else F.lit(0)
+    out = held.withColumn("seq", (base + F.col("__at").bitwiseAND(2**33 - 1)).cast("long")).drop("__at")
+    out._ionquarry_uri = held._ionquarry_uri
+    return out
+
+
 def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """(a row per document: ord, doc_id, n_words, sha, rep), (cut texts: rep, sha, rep_removed, kept_text)."""
     spark = docs.sparkSession
@@ -170,24 +187,29 @@ def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataF
     spots = reps.select("rep", "sha", F.posexplode("anchors").alias("k", "h"))
     shared = spots.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
     hits = spots.join(shared, "h").groupBy("rep", "sha").agg(F.collect_list("k").alias("hits"))
-    hits = written(hits, "hits")
+    hits = _numbered(hits)
     discard(reps)
     release_shuffles(spark)
-    near = written(rows.join(hits, rows["ord"] == hits["rep"]).select("ord", "sha", "text", "hits"), "near")
+    found = rows.withColumn("own", _sha("text"))
+    found = found.join(hits, (found["ord"] == hits["rep"]) & (found["own"] == hits["sha"]))
+    near = written(found.select("ord", "seq", "text", "hits", "sha"), "near")
     discard(hits)
     release_shuffles(spark)
-    windows = written(near.mapInArrow(trimmed(_windows), "h long, g long, ord long, at int"), "windows")
+    windows = written(near.mapInArrow(trimmed(_windows), "h long, g long, ord long, seq long, at int"), "windows")
+    # A start: the text's number and the position in one long, so that no more is shuffled than without the number.
+    place = F.shiftleft("seq", AT_BITS).bitwiseOR(F.col("at").cast("long"))
+    seq, at = F.shiftrightunsigned("place", AT_BITS), F.col("place").bitwiseAND((1 << AT_BITS) - 1).cast("int")
     # Half of the hashes at a time, so that half as much is shuffled at once.
     rounds = []
     for half in range(2):
-        some = windows.where(F.shiftrightunsigned("g", 63) == half)
+        some = windows.where(F.shiftrightunsigned("g", 63) == half).select("h", "g", "ord", place.alias("place"))
         first = some.groupBy("h", "g").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").drop("hi")
-        rounds.append(written(some.join(first, ["h", "g"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts")), "starts"))
+        rounds.append(written(some.join(first, ["h", "g"]).where("ord > lo").groupBy(seq.alias("seq")).agg(F.collect_set(at).alias("starts")), "starts"))
         release_shuffles(spark)
     discard(windows)
-    starts = rounds[0].union(rounds[1]).groupBy("ord").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    cut = near.select("ord", "sha", "text").join(starts, "ord").select("ord", "sha", "text", "starts")
-    cut = cut.mapInArrow(trimmed(_cut), "rep long, sha binary, rep_removed long, kept_text string").where("rep_removed is not null")
+    starts = rounds[0].union(rounds[1]).groupBy("seq").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    cut = near.select("ord", "seq", "sha", "text").join(starts, "seq").select("ord", "sha", "text", "starts")
+    cut = cut.mapInArrow(trimmed(_cut), "rep long, sha binary, rep_removed long, kept_text string")
     cut = written(cut, "cut").dropDuplicates(["rep", "sha"])
     discard(near)
     release_shuffles(spark)
@@ -225,10 +247,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     new = joined.where(copy | F.col("kept_text").isNotNull()).select(
         F.col("ord").alias("__ord"), F.hex("sha").alias("__sha"), F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("__kept")
     ).dropDuplicates(["__ord", "__sha"])
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = F.trim(F.regexp_replace(body, "[\\x20\\x09-\\x0D]+", " "))
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST))
-    out = docs.withColumns({"__o": ident, "__s": F.upper(F.sha2(words, 256))})
+    out = docs.withColumns({"__o": ident, "__s": F.hex(_sha(text))})
     out = out.join(new, (F.col("__o") == F.col("__ord")) & (F.col("__s") == F.col("__sha")), "left")
     return out.select(*[
         F.coalesce("__kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns

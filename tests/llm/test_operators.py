@@ -162,6 +162,20 @@ def test_substring(docs, rows):
     assert substring.dedup(docs).columns == docs.columns
 
 
+def test_substring_texts_that_share_an_id(spark):
+    rng = np.random.default_rng(12)
+    passage, other = sentence(rng, 80, 5000), sentence(rng, 60, 5000)
+    new = lambda n: sentence(rng, n, 5000)
+    texts = [(1, passage), (2, f"{new(200)} {other}")]
+    texts += [(i, f"{new(a)} {passage} {new(b)}") for i, a, b in [(None, 7, 3), (None, 300, 40), (9, 5, 2), (9, 150, 90)]]
+    texts += [(None, f"{other} {new(30)}"), (9, new(120)), (None, new(90))]
+    rows = [{"doc_id": i, "text": t} for i, t in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = [w[:4] for w in brute_removed(rows)]
+    assert sum(w[2] for w in want) == 4 * 80 + 60
+    assert sorted((tuple(r)[:4] for r in substring.removed(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
