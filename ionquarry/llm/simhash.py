@@ -153,24 +153,32 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.union(close)
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """(fp, root): each distinct fingerprint of ``prints`` with the smallest of its component."""
+    spark = prints.sparkSession
+    nodes = written(prints.select("fp").distinct(), "simhash-nodes")
+    pairs = links(nodes.repartition(shuffle_parts(spark)))
+    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    release_shuffles(spark)
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): a row per row of ``docs``."""
-    spark = docs.sparkSession
     prints = written(fingerprints(docs, words, text, doc_id), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    pairs = links(nodes.select("fp").repartition(shuffle_parts(spark)))
-    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    release_shuffles(spark)
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    lows = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    labelled = lows.join(_roots(prints), "fp")
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     named = labelled.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents whose component has one with a smaller doc_id."""
-    lost = classes(docs, words, text, doc_id).where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    lost = lost.select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__lost")), "left_anti")
+    """One row of each component of ``docs``: that of the smallest doc_id, nulls last."""
+    frozen = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    prints = written(fingerprints(frozen, words, text, "__row").withColumnRenamed("doc_id", "row"), "simhash")
+    idents = frozen.select(F.col("__row").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    rows = written(prints.join(_roots(prints), "fp").join(idents, "row"), "near-labels")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row"))["row"].alias("keep"))
+    lost = rows.join(best, "root").where("row <> keep").select(F.col("row").alias("__row"))
+    return frozen.join(lost, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -115,6 +115,15 @@ def test_simhash_classes(docs, rows):
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == ids
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e, f = (sentence(rng, 60, 5000) for _ in range(6))
+    rows = [(4, a), (None, a), (None, b), (None, c), (None, c), (6, d), (6, d), (6, e), (3, e), (8, f)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in simhash.near_dedup(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(4, a), (None, b), (None, c), (6, d), (3, e), (8, f)], key=repr)
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 40, 0])
 def test_anchor_links_lose_nothing(spark, hot):
     rng = np.random.default_rng(2)
