@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from ._common import bounded_batches, release_shuffles, shuffle_parts, slices, trimmed, written
 from ..operators.components import components
 
@@ -50,17 +51,23 @@ HOT = 20_000
 LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned fingerprint of a whole text: A-Z lower-cased, words split at ASCII white space."""
+def shingles(text: str | None, words: int = 3) -> np.ndarray:
+    """Hashes of the word shingles of a whole text, repeats included: A-Z lower-cased, words split at ASCII white space."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(parts) <= words:
-        return digest(join(parts), SEED)
+        return np.array([digest(join(parts), SEED)], dtype=np.uint64)
     grams = zip(*(parts[i:] for i in range(words)), strict=False)
-    n = len(parts) - words + 1
-    h = np.fromiter((digest(join(g), SEED) for g in grams), dtype=np.uint64, count=n)
+    return np.fromiter((digest(join(g), SEED) for g in grams), dtype=np.uint64, count=len(parts) - words + 1)
+
+
+def vote(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n = len(h)
+    if n < 2:
+        return int(h[0]) if n else 0
     starts = np.arange(0, n, 255)  # a lane of 8 bits holds sums of up to 255 bits
     out = 0
     for shift in range(8):
@@ -72,6 +79,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return out
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The unsigned fingerprint of a whole text."""
+    return vote(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
 
@@ -174,11 +186,21 @@ def classes(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "
 
 
 def near_dedup(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component of ``docs``: that of the smallest doc_id, nulls last."""
+    """One row of each group of near copies, that of the smallest doc_id, nulls last.
+
+    Two texts are linked if their fingerprints are within the threshold or their
+    sets of shingles have a Jaccard similarity of 0.8 or more.
+    """
+    own = lambda t: shingles(t, words)
     frozen = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    prints = written(fingerprints(frozen, words, text, "__row").withColumnRenamed("doc_id", "row"), "simhash")
+    texts = frozen.select(F.col("__row").alias("row"), F.col(f"`{text}`").alias("text"))
+    prints = written(jaccard.sketches(texts, own, vote), "sketches")
+    # The fingerprint's links, said of sets of shingles: each set with the first of its fingerprint's component.
+    pairs = prints.select("fp", "node").distinct().join(_roots(prints), "fp").select("root", "node")
+    stars = pairs.join(pairs.groupBy("root").agg(F.min("node").alias("low")), "root").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    roots = jaccard.linked(prints, texts, written(stars.where("u <> v"), "simhash-edges"), own)
     idents = frozen.select(F.col("__row").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"))
-    rows = written(prints.join(_roots(prints), "fp").join(idents, "row"), "near-labels")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row"))["row"].alias("keep"))
+    rows = written(prints.select("row", "node").join(roots, "node").join(idents, "row"), "near-labels")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row"))["row"].alias("keep"))
     lost = rows.join(best, "root").where("row <> keep").select(F.col("row").alias("__row"))
     return frozen.join(lost, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

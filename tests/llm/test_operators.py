@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ionquarry.llm import exact_dedup, langid, mixing, packing, simhash, substring, token_output, tokens, topk, toxicity, warc
+from ionquarry.llm import exact_dedup, jaccard, langid, mixing, packing, simhash, substring, token_output, tokens, topk, toxicity, warc
 from ionquarry.operators.components import components
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -124,6 +124,30 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert sorted(got, key=repr) == sorted([(4, a), (None, b), (None, c), (6, d), (3, e), (8, f)], key=repr)
 
 
+@pytest.mark.parametrize("crowd", [jaccard.CROWD, 0])
+def test_near_dedup_finds_similarity_of_four_fifths(spark, crowd, monkeypatch):
+    monkeypatch.setattr(jaccard.linked, "__defaults__", (crowd,))
+    rng = np.random.default_rng(9)
+    passage, texts = sentence(rng, 120, 5000), []
+    for n in range(30):
+        base = f"{sentence(rng, 100, 5000)} {passage} {sentence(rng, 60, 5000)}".split()
+        texts.append(" ".join(base))
+        for changes in (1, 3, 5, 9):
+            new = list(base)
+            for at in rng.choice(280, changes, replace=False):
+                new[at] = f"new{n}"
+            texts.append(" ".join(new))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root] if root[j] < root[i] else [root[i] if x == root[j] else x for x in root]
+    assert 30 <= len(set(root)) < 70
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(set(root))
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 40, 0])
 def test_anchor_links_lose_nothing(spark, hot):
     rng = np.random.default_rng(2)
