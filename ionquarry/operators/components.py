@@ -3,7 +3,7 @@
 Alternating large-star and small-star rounds: each points every node at the
 smallest node it can see, until the edges are stars around the smallest node of
 each component.  A hub's edges are only ever aggregated with map-side partial
-minima or joined on the hub, where adaptive execution splits the hot side; no
+minima or joined back to them (``joined_back``), where adaptive execution splits the hot side; no
 neighbour list is gathered.  Each round is cut by a table in shared storage.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, written
+from .joins import joined_back
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -23,9 +24,9 @@ def _signature(edges: DataFrame) -> tuple:
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = joined_back(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = joined_back(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
