@@ -51,11 +51,14 @@ def meta(params: Column, key: str, default: str | None = None) -> Column:
 
 
 def normalized_metadata(params: Column, fields: tuple = METADATA_FIELDS, aliases: dict | None = None) -> list[Column]:
-    """One column for each field, from a map with lower-case keys; ``aliases``: other names of a field."""
+    """One column for each field, from a map with lower-case keys; ``aliases``: other names of a field.
+
+    The precursor's m/z may be followed by its intensity; the first number counts.
+    """
     out = []
     for f in fields:
-        value = F.coalesce(*[F.try_element_at(params, F.lit(k)) for k in (f, *(aliases or {}).get(f, ()))])
-        out.append((number(value) if f == "precursor_mz" else absent(value)).alias(f))
+        value = F.coalesce(*[meta(params, k) for k in (f, *(aliases or {}).get(f, ()))])
+        out.append((number(F.regexp_extract(value, r"^\s*(\S+)", 1)) if f == "precursor_mz" else absent(value)).alias(f))
     return out
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Scratch tables and folders made so far, in order.
+MADE: list[str] = []
 
 
 def _fs(spark: SparkSession, uri: str):
@@ -19,13 +22,16 @@ def _fs(spark: SparkSession, uri: str):
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``, as a full URI.
 
-    The setting is read from the session; only where it is unset (tests, a
-    laptop) is a folder chosen here.  The tree is removed when Python exits.
+    The setting is read from the session; only where it is unset and driver and
+    executors are one process (tests, a laptop) is a folder chosen here, else a
+    ``RuntimeError`` asks for it.  The tree is removed when Python exits.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="ionquarry-")
             spark.sparkContext.setCheckpointDir(base)
         fs, path = _fs(spark, f"{base.rstrip('/')}/ionquarry-{app}")
@@ -63,6 +69,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     fs, path = _fs(spark, uri)
     fs.mkdirs(path)
+    MADE.append(uri)
     return uri
 
 
@@ -74,6 +81,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     uri = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    MADE.append(uri)
     df.write.parquet(uri)
     out = spark.read.schema(df.schema).parquet(uri)
     out._ionquarry_uri = uri
@@ -97,13 +105,20 @@ def read_text(spark: SparkSession, uri: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(uri, wholetext=True).collect())
 
 
-def write_text(spark: SparkSession, uri: str, text: str) -> None:
-    """A small file, such as a manifest, replaced in one step."""
-    fs, path = _fs(spark, uri + ".new")
-    out = fs.create(path, True)
+def create_text(spark: SparkSession, uri: str, text: str) -> bool:
+    """A new small file, which appears in one step; False if there is one of that name."""
+    fs, path = _fs(spark, f"{uri}.{uuid.uuid4().hex[:12]}")
+    out = fs.create(path, False)
     out.write(bytearray(text.encode()))
     out.close()
     target = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(path, target)
+    done = not fs.exists(target) and fs.rename(path, target)
+    if not done:
+        fs.delete(path, False)
+    return done
+
+
+def names(spark: SparkSession, uri: str) -> list[str]:
+    """Names in a folder, in order; none if it isn't there."""
+    fs, path = _fs(spark, uri)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
