@@ -22,8 +22,8 @@ def prepared(counts: Column, scaling: str | None = None, weights: dict[int, floa
     def value(p: Column) -> Column:
         v = F.log1p(p["value"].cast("double")) if scaling == "log" else p["value"].cast("double")
         if weights:
-            table = F.create_map(*[F.lit(x) for kv in weights.items() for x in (int(kv[0]), float(kv[1]))])
-            v = v * F.coalesce(F.try_element_at(table, p["key"].cast("int")), F.lit(1.0))
+            table = F.map_from_arrays(F.lit([int(b) for b in weights]).cast("array<bigint>"), F.lit([float(w) for w in weights.values()]).cast("array<double>"))
+            v = v * F.coalesce(F.try_element_at(table, p["key"].cast("long")), F.lit(1.0))
         return v.cast("float")
 
     return F.struct(F.transform(pairs, lambda p: p["key"].cast("long")).alias("bits"), F.transform(pairs, value).alias("values"))

@@ -36,8 +36,8 @@ def blocked(spectra: DataFrame, merge_unannotated: bool = False) -> DataFrame:
 
 def clusters(spectra: DataFrame, settings: MergeSettings = MergeSettings(), pos: str = "pos") -> DataFrame:
     """``spectra`` (blocked) with ``cluster_id``, the smallest position of the cluster."""
-    scores = pair_scores(spectra, BLOCK, pos, tol=settings.fragment_tol, mz_power=settings.mz_power, intensity_power=settings.intensity_power)
-    edges = scores.where(F.col("score") >= settings.cosine_threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    scores = pair_scores(spectra, BLOCK, pos, settings.scorer, tol=settings.fragment_tol, mz_power=settings.mz_power, intensity_power=settings.intensity_power, least=settings.cosine_threshold)
+    edges = scores.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(edges)
     return spectra.join(roots, spectra[pos] == roots["node"], "left").withColumn("cluster_id", F.coalesce("root", pos)).drop("node", "root")
 

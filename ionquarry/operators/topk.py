@@ -1,15 +1,14 @@
-"""Top-k similarity search over dense vectors and sparse fingerprints.
+"""Top-k similarity search over dense vectors and sparse fingerprints, exactly.
 
-Dense: scores are exact cosines by matrix products in Arrow batches.  If the
-queries' size, which is checked, is under ``BROADCAST`` they go to every
-library partition, which answers with its own k best; else queries and library
+If the queries' size, which is checked, is under ``BROADCAST`` they go to every
+library partition, which answers with its own best; else queries and library
 are dealt to blocks and each pair of blocks is one task.  A window with a
 group limit merges either way.
 
-Sparse: exact search scans library rows in place against broadcast queries (in
-rounds of bounded size), so nothing but k rows a query and partition is shuffled.
-Pair tables and candidate searches are equi-joins on bits that add up minima, so
-only pairs that share a bit are looked at.
+Dense scores are cosines by matrix products.  Sparse sides are rows of arrays
+(``packed``); a block of the library is turned into postings by bit, and the
+queries' bits gather sums of minima and products from them, many queries at a
+time, so only bits that both sides have cost anything and no bit is a join key.
 """
 
 from __future__ import annotations
@@ -23,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.tanimoto import tanimoto_from_minimum
 from ..storage import written
-from .aggregate import best_per_group, l1_norms
+from .aggregate import best_per_group
 
 #: Bytes of queries that may be broadcast, and rows of a block beyond that.
 BROADCAST, BLOCK = 64 << 20, 16_384
+#: Rows of a block of sparse queries, and numbers that are added up at once.
+SPARSE_BLOCK, AT_ONCE = 2_048, 4_000_000
 #: Digits to which scores are rounded before ranking, so that ties break by id.
 DIGITS = 10
 
@@ -44,16 +44,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best of each row of scores; ties with the k-th go to the smaller id."""
-    rows, cols = [], []
-    for i, row in enumerate(s):
-        some = np.arange(len(row))
-        if len(row) > k:
-            some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-        some = some[np.lexsort((ids[some], -row[some]))[:k]]
-        rows.append(np.full(len(some), i))
-        cols.append(some)
-    return np.concatenate(rows), np.concatenate(cols)
+    """(row, column) of the k best of each row of scores, best first; ties go to the smaller id, -inf is left out."""
+    n = s.shape[1]
+    floor = np.partition(s, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+    r, c = np.nonzero((s >= floor) & (s > -np.inf))
+    order = np.lexsort((ids[c], -s[r, c], r))
+    r, c = r[order], c[order]
+    few = np.arange(len(r)) - np.searchsorted(r, np.arange(len(s)))[r] < k
+    return r[few], c[few]
+
+
+def _blocks(queries: DataFrame, library: DataFrame, item: str, n_queries: int, block: int) -> DataFrame:
+    """Both sides, (q, cells) and (item, cells), in one frame dealt to pairs of blocks (a, b); ``item`` is null for queries."""
+    kind, own = library.schema[item].dataType.simpleString(), [c for c in library.columns if c != item]
+    asking, blocks = max(1, -(-n_queries // block)), max(1, -(-library.count() // BLOCK))
+    deal = lambda n, key: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("q", F.lit(None).cast(kind).alias(item), *own, F.lit(True).alias("asks"), deal(asking, "q").alias("a"), every(blocks).alias("b"))
+    right = library.select(F.lit(None).cast(queries.schema["q"].dataType).alias("q"), item, *own, F.lit(False).alias("asks"), every(asking).alias("a"), deal(blocks, item).alias("b"))
+    return left.unionByName(right).groupBy("a", "b")
 
 
 def dense(queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix", item: str = "spec_id", vec: str = "vec", broadcast: int = BROADCAST) -> DataFrame:
@@ -86,80 +95,177 @@ def dense(queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix
 
         part = lib.mapInArrow(run, schema)
     else:
-        asking, blocks = -(-shape[0] // BLOCK), max(1, -(-lib.count() // BLOCK))
-        deal = lambda n, key: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = q.select("q", F.lit(None).cast(kind).alias("item"), "v", deal(asking, "q").alias("a"), every(blocks).alias("b"))
-        right = lib.select(F.lit(None).cast("long").alias("q"), "item", "v", every(asking).alias("a"), deal(blocks, "item").alias("b"))
 
         def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-            asks = pdf["item"].isna()
-            own, others = pdf[asks], pdf[~asks]
+            own, others = pdf[pdf["asks"]], pdf[~pdf["asks"]]
             if own.empty or others.empty:
                 return pd.DataFrame({query: pd.Series(dtype="int64"), item: others["item"][:0], "score": pd.Series(dtype="float64")})
             s = np.round(_unit(np.stack(own["v"].to_list())) @ _unit(np.stack(others["v"].to_list())).T, DIGITS)
-            r, c = _best(others["item"].to_numpy(), s, k)
+            r, c = _best(np.array(others["item"].to_list()), s, k)
             return pd.DataFrame({query: own["q"].to_numpy()[r].astype(np.int64), item: others["item"].to_numpy()[c], "score": s[r, c]})
 
-        part = left.unionByName(right).groupBy("a", "b").applyInPandas(pair, schema)
+        part = _blocks(q, lib, "item", shape[0], BLOCK).applyInPandas(pair, schema)
     return ranked(part, k, query, item).select(query, "rank", item, "score")
 
 
-def dense_best(queries: DataFrame, library: DataFrame, query: str = "query_ix", item: str = "spec_id", group: str = "comp_id", vec: str = "vec") -> DataFrame:
-    """(query, group, item, score): each group's best item for each query by cosine; ties go to the smaller item.
-
-    Queries, whose size is checked, are broadcast (block by block beyond
-    ``BROADCAST``); a library partition answers with one row per query and group.
-    """
+def dense_best(
+    queries: DataFrame, library: DataFrame, query: str = "query_ix", item: str = "spec_id", group: str = "comp_id", vec: str = "vec", broadcast: int = BROADCAST
+) -> DataFrame:
+    """(query, group, item, score): each group's best item for each query by cosine; ties go to the smaller item."""
     spark = library.sparkSession
     q = written(queries.select(F.col(query).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v")), "queries")
     shape = q.agg(F.count("*"), F.max(F.size("v"))).first()
     lib = library.select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
     kinds = [lib.schema[c].dataType.simpleString() for c in ("g", "item")]
-    parts = max(1, -(-shape[0] * (shape[1] or 1) * 8 // BROADCAST))
-    best = None
-    for part in range(parts):
-        held = q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toArrow().to_pandas()  # at most about BROADCAST bytes
-        if held.empty:
-            continue
+    schema = f"{query} long, {group} {kinds[0]}, {item} {kinds[1]}, score double"
+
+    def best(q_ids: np.ndarray, q_vec: np.ndarray, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        pdf = pdf.sort_values(["g", "item"])
+        s = np.round(q_vec @ _unit(np.stack(pdf["v"].to_list())).T, DIGITS)
+        names, items = pdf["g"].to_numpy(), pdf["item"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+            at = a + s[:, a:b].argmax(axis=1)
+            yield pd.DataFrame({query: q_ids, group: names[a], item: items[at], "score": s[np.arange(len(q_ids)), at]})
+
+    if shape[0] == 0:
+        return spark.createDataFrame([], schema)
+    if shape[0] * (shape[1] or 1) * 8 <= broadcast:
+        held = q.toArrow().to_pandas()  # its size was checked
         shared = spark.sparkContext.broadcast((held["q"].to_numpy(), _unit(np.stack(held["v"].to_list()))))
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q_ids, q_vec = shared.value
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                if pdf.empty:
-                    continue
-                pdf = pdf.sort_values(["g", "item"])
-                s = np.round(q_vec @ _unit(np.stack(pdf["v"].to_list())).T, DIGITS)
-                names, items = pdf["g"].to_numpy(), pdf["item"].to_numpy()
-                starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-                for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
-                    at = a + s[:, a:b].argmax(axis=1)
-                    yield pd.DataFrame({query: q_ids, group: names[a], item: items[at], "score": s[np.arange(len(q_ids)), at]})
+                if not pdf.empty:
+                    yield from best(*shared.value, pdf)
+
+        part = lib.mapInPandas(run, schema)
+    else:
+
+        def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+            own, others = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+            if own.empty or others.empty:
+                return pd.DataFrame({query: own["q"][:0].astype("int64"), group: others["g"][:0], item: others["item"][:0], "score": pd.Series(dtype="float64")})
+            return pd.concat(best(own["q"].to_numpy().astype(np.int64), _unit(np.stack(own["v"].to_list())), others))
+
+        part = _blocks(q.withColumn("g", F.lit(None).cast(kinds[0])), lib, "item", shape[0], BLOCK).applyInPandas(pair, schema)
+    return best_per_group(part, [query, group], "score", item)
+
+
+def packed(bits: DataFrame, key: str) -> DataFrame:
+    """(key, bits, vals): a row per fingerprint, of (key, bit, value); packed frames pass through."""
+    if "bits" in bits.columns:
+        return bits.select(key, "bits", F.col("vals").cast("array<double>").alias("vals"))
+    pairs = F.collect_list(F.struct(F.col("bit").cast("long").alias("bit"), F.col("value").cast("double").alias("value")))  # as long as its fingerprint
+    return bits.groupBy(key).agg(pairs.alias("p")).select(key, F.col("p.bit").alias("bits"), F.col("p.value").alias("vals"))
+
+
+def unpacked(rows: DataFrame, key: str) -> DataFrame:
+    """(key, bit, value) of packed rows; such frames pass through."""
+    if "bits" not in rows.columns:
+        return rows.select(key, "bit", "value")
+    pairs = rows.select(key, F.explode(F.arrays_zip(F.col("bits").alias("bit"), F.col("vals").alias("value"))).alias("p"))
+    return pairs.select(key, F.col("p.bit").alias("bit"), F.col("p.value").cast("double").alias("value"))
+
+
+class Sparse:
+    """Fingerprints as flat arrays: ``row`` of each of ``bits`` and ``vals``; ``cuts`` between rows."""
+
+    def __init__(self, ids: list, bits: np.ndarray, vals: np.ndarray, sizes: np.ndarray):
+        if len(vals) and vals.min() < 0:
+            raise ValueError("fingerprint values must not be negative")
+        self.ids, self.bits, self.vals = np.array(ids), bits, vals
+        self.cuts = np.concatenate([[0], np.cumsum(sizes)])
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.l1 = np.bincount(self.row, vals, len(sizes))
+        self.l2 = np.sqrt(np.bincount(self.row, vals * vals, len(sizes)))
+
+    @classmethod
+    def of(cls, ids: list, bits, vals) -> Sparse:
+        """Of lists of arrays."""
+        sizes = np.array([len(b) for b in bits], dtype=np.int64)
+        flat = lambda parts, kind: np.concatenate([np.empty(0, kind), *(np.asarray(p, dtype=kind) for p in parts)])
+        return cls(ids, flat(bits, np.int64), flat(vals, np.float64), sizes)
+
+
+def _sums(q: Sparse, lib: Sparse) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, sums of minima, sums of products) by slices of the queries, each queries x rows."""
+    order, n = np.argsort(lib.bits, kind="stable"), len(lib.ids)
+    bits, row, vals = lib.bits[order], lib.row[order], lib.vals[order]
+    known, first = np.unique(bits, return_index=True)
+    length = np.diff(np.append(first, len(bits)))
+    if not len(known):
+        return
+    spot = np.minimum(np.searchsorted(known, q.bits), len(known) - 1)
+    count = np.where(known[spot] == q.bits, length[spot], 0)
+    work, at = np.concatenate([[0], np.cumsum(count)])[q.cuts], 0
+    while at < len(q.ids):
+        end = max(at + 1, min(int(np.searchsorted(work, work[at] + AT_ONCE, side="right")) - 1, at + max(1, AT_ONCE // n)))
+        own = slice(q.cuts[at], q.cuts[end])
+        many = count[own]
+        place = np.repeat(first[spot[own]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        cell = np.repeat(q.row[own] - at, many) * n + row[place]
+        x, y = np.repeat(q.vals[own], many), vals[place]
+        add = lambda v: np.bincount(cell, v, (end - at) * n).reshape(end - at, n)  # noqa: E731, B023
+        yield at, add(np.minimum(x, y)), add(x * y)
+        at = end
+
+
+def _scored(q: Sparse, lib: Sparse, by: str, k: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query ids, item ids, Tanimoto, cosine) of pairs that share a bit: all, or the k best of each query by ``by``."""
+    for at, low, dot in _sums(q, lib):
+        own = slice(at, at + len(low))
+        tanimoto = np.round(low / np.maximum(q.l1[own, None] + lib.l1 - low, 1e-12), DIGITS)
+        cosine = np.round(dot / np.maximum(q.l2[own, None] * lib.l2, 1e-300), DIGITS)
+        s = np.where(low > 0, tanimoto if by == "tanimoto" else cosine, -np.inf)
+        r, c = np.nonzero(s > -np.inf) if k is None else _best(lib.ids, s, k)
+        yield q.ids[at + r], lib.ids[c], tanimoto[r, c], cosine[r, c]
+
+
+def sparse_scores(queries: DataFrame, library: DataFrame, query: str, item: str, by: str = "tanimoto", k: int | None = None, broadcast: int = BROADCAST) -> DataFrame:
+    """(query, item, tanimoto, cosine) of pairs that share a bit; with ``k`` at least the k best of each query by ``by``.
+
+    Inputs are (id, bit, value) or packed.  Negative values raise.
+    """
+    spark = library.sparkSession
+    kinds = [queries.schema[query].dataType.simpleString(), library.schema[item].dataType.simpleString()]
+    names, schema = [query, item, "tanimoto", "cosine"], f"{query} {kinds[0]}, {item} {kinds[1]}, tanimoto double, cosine double"
+    # Written once: its size is looked at before it is read, and it may be long in the making.
+    asked = written(packed(queries, query).select(F.col(query).alias("q"), "bits", "vals"), "queries")
+    lib = packed(library, item).select(F.col(item).alias("item"), "bits", "vals").where("size(bits) > 0")
+    n, total = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("bits")), F.lit(0))).first()
+    types = [pa.from_numpy_dtype(t) if (t := {"bigint": np.int64, "int": np.int32}.get(kind)) else pa.string() for kind in kinds]
+    if not n:
+        return spark.createDataFrame([], schema)
+    if 16 * total + 64 * n <= broadcast:
+        held = asked.toArrow()  # its size was checked
+        shared = spark.sparkContext.broadcast((held["q"].to_pylist(), held["bits"].to_pylist(), held["vals"].to_pylist()))
 
-        some = lib.mapInPandas(run, f"{query} long, {group} {kinds[0]}, {item} {kinds[1]}, score double")
-        best = some if best is None else best.union(some)
-    if best is None:
-        return spark.createDataFrame([], f"{query} long, {group} {kinds[0]}, {item} {kinds[1]}, score double")
-    return best_per_group(best, [query, group], "score", item)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = None
+            for b in (part for batch in batches for part in (batch.slice(i, BLOCK) for i in range(0, batch.num_rows, BLOCK))):
+                q = q or Sparse.of(*shared.value)
+                bits, vals = b.column(1), b.column(2)
+                rows = Sparse(b.column(0).to_pylist(), bits.flatten().to_numpy(zero_copy_only=False), vals.flatten().to_numpy(zero_copy_only=False), np.diff(bits.offsets.to_numpy()))
+                for a, c, t, s in _scored(q, rows, by, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), types[0]), pa.array(c.tolist(), types[1]), pa.array(t), pa.array(s)], names=names)
+
+        return lib.mapInArrow(run, schema)
 
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, others = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        made = [pd.DataFrame({query: own["q"][:0], item: others["item"][:0], "tanimoto": pd.Series(dtype="float64"), "cosine": pd.Series(dtype="float64")})]
+        if len(own) and len(others):
+            sides = [Sparse.of(f[c].to_list(), f["bits"], f["vals"]) for f, c in ((own, "q"), (others, "item"))]
+            made += [pd.DataFrame(dict(zip(names, found, strict=True))) for found in _scored(*sides, by, k)]
+        return pd.concat(made[1:] or made)
 
-def minima(queries: DataFrame, library: DataFrame, query: str = "query_ix", item: str = "comp_id") -> DataFrame:
-    """(query, item, smin, dot) of all pairs that share a bit; inputs are (id, bit, value)."""
-    a = queries.select(query, "bit", F.col("value").alias("x"))
-    b = library.select(item, "bit", F.col("value").alias("y"))
-    return a.join(b, "bit").groupBy(query, item).agg(F.sum(F.least("x", "y")).alias("smin"), F.sum(F.col("x") * F.col("y")).alias("dot"))
+    return _blocks(asked, lib, "item", n, SPARSE_BLOCK).applyInPandas(pair, schema)
 
 
 def tanimoto_pairs(queries: DataFrame, library: DataFrame, query: str = "query_ix", item: str = "comp_id") -> DataFrame:
     """(query, item, score) of all pairs that share a bit; all others score 0."""
-    pairs = minima(queries, library, query, item)
-    norms = l1_norms(library, item).withColumnRenamed("l1", "l1_b")
-    return (
-        pairs.join(l1_norms(queries, query).withColumnRenamed("l1", "l1_a"), query)
-        .join(norms, item)
-        .select(query, item, tanimoto_from_minimum(F.col("smin"), F.col("l1_a"), F.col("l1_b")).alias("score"))
-    )
+    return sparse_scores(queries, library, query, item).select(query, item, F.col("tanimoto").alias("score"))
 
 
 def non_negative(bits: DataFrame) -> DataFrame:
@@ -168,87 +274,30 @@ def non_negative(bits: DataFrame) -> DataFrame:
     return bits.withColumn("value", F.when(F.col("value") >= 0, F.col("value")).otherwise(bad))
 
 
-def _rounds(frame: DataFrame, key: str, most: int) -> Iterator[pd.DataFrame]:
-    """A frame (key, bit, value) on the driver, in parts of at most about ``most`` bytes."""
-    parts = max(1, -(-frame.count() * 24 // most))
-    for part in range(parts):
-        some = frame if parts == 1 else frame.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        held = some.toArrow().to_pandas()
-        if not held.empty:
-            yield held.sort_values([key, "bit"], kind="stable")
-
-
 def scan(queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix", item: str = "comp_id", broadcast: int = BROADCAST) -> DataFrame:
-    """(query, rank, item, score) by Tanimoto over all that share a bit, exactly; inputs are (id, bit, value)."""
-    spark = library.sparkSession
-    kinds = [queries.schema[query].dataType.simpleString(), library.schema[item].dataType.simpleString()]
-    schema = f"{query} {kinds[0]}, {item} {kinds[1]}, score double"
-    # One row an item: as long as its fingerprint.
-    pairs = F.collect_list(F.struct("bit", F.col("value").cast("double").alias("value")))
-    rows = library.groupBy(F.col(item).alias("item")).agg(pairs.alias("p")).select("item", F.col("p.bit").alias("bits"), F.col("p.value").alias("vals"))
-    best = None
-    # Written once: its size is looked at before it is read, and it may be long in the making.
-    asked = written(queries.select(query, F.col("bit").cast("long").alias("bit"), F.col("value").cast("double").alias("value")), "queries")
-    for held in _rounds(asked, query, broadcast):
-        names, starts = np.unique(held[query].to_numpy(), return_index=True)
-        shared = spark.sparkContext.broadcast((names, [*starts.tolist(), len(held)], held["bit"].to_numpy(), held["value"].to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, cuts, q_bits, q_values = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                lists, values = b.column(1), b.column(2).flatten().to_numpy(zero_copy_only=False)
-                at = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-                known, place = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-                l1, ids = np.add.reduceat(np.abs(values), at), np.array(b.column(0).to_pylist())
-                for i, name in enumerate(names.tolist()):
-                    bits, x = q_bits[cuts[i] : cuts[i + 1]], q_values[cuts[i] : cuts[i + 1]]
-                    spot = np.minimum(np.searchsorted(known, bits), len(known) - 1)
-                    hit = known[spot] == bits
-                    full = np.zeros(len(known))
-                    np.add.at(full, spot[hit], x[hit])
-                    low = np.add.reduceat(np.minimum(values, full[place]), at)
-                    some = np.flatnonzero(low > 0)
-                    if len(some):
-                        score = np.round(low[some] / np.maximum(np.abs(x).sum() + l1[some] - low[some], 1e-12), DIGITS)
-                        _, c = _best(ids[some], score[None, :], k)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * len(c)), b.column(0).take(pa.array(some[c])), pa.array(score[c])], names=[query, item, "score"]
-                        )
-
-        part = rows.mapInArrow(run, schema)
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return spark.createDataFrame([], f"{query} {kinds[0]}, rank int, {item} {kinds[1]}, score double")
-    return ranked(best, k, query, item).select(query, "rank", item, "score")
+    """(query, rank, item, score) by Tanimoto over all that share a bit."""
+    found = sparse_scores(queries, library, query, item, "tanimoto", k, broadcast).withColumnRenamed("tanimoto", "score")
+    return ranked(found, k, query, item).select(query, "rank", item, "score")
 
 
 def sparse(
     queries: DataFrame, library: DataFrame, k: int, query: str = "query_ix", item: str = "comp_id", re_rank: bool = True,
     candidate_multiplier: int | None = None,
 ) -> DataFrame:
-    """(query, rank, item, score) for (id, bit, value) tables.
+    """(query, rank, item, score) for (id, bit, value) tables or packed ones.
 
     Exact by default: Tanimoto over all that share a bit.  With a
     ``candidate_multiplier`` m, the max(k, k * m) best by cosine are re-ranked by
     Tanimoto; with ``re_rank=False`` the score is the cosine.  Queries without
     bits get no rows.
     """
-    queries, library = non_negative(queries), non_negative(library)
     if re_rank and candidate_multiplier is None:
         return scan(queries, library, k, query, item)
-    size = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias(name))
-    pairs = minima(queries, library, query, item).join(size(queries, query, "na"), query).join(size(library, item, "nb"), item)
-    pairs = pairs.where("na > 0 and nb > 0").withColumn("score", F.round(F.col("dot") / (F.col("na") * F.col("nb")), DIGITS))
+    fetch = max(k, k * (candidate_multiplier or 1)) if re_rank else k
+    near = ranked(sparse_scores(queries, library, query, item, "cosine", fetch), fetch, query, item, "cosine")
     if not re_rank:
-        return ranked(pairs, k, query, item).select(query, "rank", item, "score")
-    fetch = max(k, k * candidate_multiplier)
-    near = ranked(pairs, fetch, query, item).select(query, item, "smin")
-    l1 = l1_norms(queries, query).withColumnRenamed("l1", "l1_a")
-    near = near.join(l1, query).join(l1_norms(library, item).withColumnRenamed("l1", "l1_b"), item)
-    scored = near.select(query, item, tanimoto_from_minimum(F.col("smin"), F.col("l1_a"), F.col("l1_b")).alias("score"))
-    return ranked(scored.withColumn("score", F.round("score", DIGITS)), k, query, item).select(query, "rank", item, "score")
+        return near.select(query, "rank", item, F.col("cosine").alias("score"))
+    return ranked(near.select(query, item, F.col("tanimoto").alias("score")), k, query, item).select(query, "rank", item, "score")
 
 
 def knn_graph(bits: DataFrame, k: int, item: str = "comp_id") -> DataFrame:
@@ -256,10 +305,11 @@ def knn_graph(bits: DataFrame, k: int, item: str = "comp_id") -> DataFrame:
 
     Nodes that share no bit are at distance 1 and not listed.
     """
+    rows = packed(bits, item)
     # Among the k best there is at most one row for the node itself, so k - 1 others are there.
-    near = scan(bits.withColumnRenamed(item, "node"), bits.withColumnRenamed(item, "neighbour"), k, "node", "neighbour").where("node <> neighbour")
+    near = scan(rows.withColumnRenamed(item, "node"), rows.withColumnRenamed(item, "neighbour"), k, "node", "neighbour").where("node <> neighbour")
     edges = near.select("node", "neighbour", F.round(1 - F.col("score"), DIGITS).alias("distance"), F.lit(1).alias("other"))
-    own = bits.select(F.col(item).alias("node")).distinct().select("node", F.col("node").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("other"))
+    own = rows.select(F.col(item).alias("node"), F.col(item).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("other"))
     order = Window.partitionBy("node").orderBy("other", "distance", "neighbour")
     return own.union(edges).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("node", "rank", "neighbour", "distance")
 

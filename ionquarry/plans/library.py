@@ -9,20 +9,42 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions.fingerprints import exploded, from_dense
 from ..functions.keys import strip_where
-from ..functions.vectors import cosine, l2_normalized
-from ..operators import aggregate, lookup, merging, topk, writes
-from ..plugins import compute_embeddings, compute_fingerprints, external, missing_embeddings, structureless, without_fingerprint
+from ..functions.vectors import cosine
+from ..operators import aggregate, index, lookup, merging, topk, writes
+from ..plugins import compute_embeddings, compute_fingerprints, external, structure_counts, without_fingerprint
 from ..schema import COMPOUNDS, KEY_LENGTH, METADATA_FIELDS, SPECTRA
 from ..settings import FingerprintSettings, MergeSettings
 from ..sources import compounds as compound_files
 from ..sources import mgf
+from ..sources import spectra as spectra_files_
 from ..sources.tables import TableStore
 from ..storage import written
 
-#: Statements that ``sql`` accepts start with one of these words.
-READS = ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "(", "DESCRIBE", "SHOW", "EXPLAIN")
+#: Commands that only tell something, and plans that write though they aren't commands before analysis (class names).
+TELLING, WRITING = ("Describe", "Show", "Explain"), ("Insert", "Compound")
+
+
+def reads_only(spark: SparkSession, query: str) -> bool:
+    """Whether the parsed plan of a statement, nested plans included, neither writes nor changes anything."""
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    command = loader.loadClass("org.apache.spark.sql.catalyst.plans.logical.Command")
+    statement = loader.loadClass("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+    waiting = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
+    while waiting:
+        plan = waiting.pop()
+        name = plan.getClass().getSimpleName()
+        if name.startswith(WRITING) or ((command.isInstance(plan) or statement.isInstance(plan)) and not name.startswith(TELLING)):
+            return False
+        for below in (plan.children(), plan.innerChildren()):
+            at = below.iterator()
+            while at.hasNext():
+                child = at.next()
+                if hasattr(child, "innerChildren"):
+                    waiting.append(child)
+    return True
 
 
 def analogue_search(
@@ -31,7 +53,7 @@ def analogue_search(
     """(query_ix, rank, comp_id, score, weighted_average_score).
 
     ``queries(query_ix, vec)``, ``embeddings(spec_id, vec)``, ``mapping(spec_id, comp_id)``;
-    ``bits`` and ``target`` (comp_id, bit, value) are searched for neighbours and for analogues.
+    ``bits`` and ``target``, (comp_id, bit, value) or packed, are searched for neighbours and for analogues.
 
     1. the best library spectrum of each query, and its compound;
     2. that compound's ``k_neighbours`` nearest compounds;
@@ -41,14 +63,16 @@ def analogue_search(
     Queries whose compound has no fingerprint, or whose weights sum to 0 or less, give no rows.
     """
     top = topk.dense(queries, embeddings.join(mapping.select("spec_id"), "spec_id", "left_semi"), 1).join(mapping, "spec_id").select("query_ix", "comp_id")
-    asked = top.join(bits, "comp_id").select("query_ix", "bit", "value")
-    near = topk.sparse(asked, bits, k_neighbours).select("query_ix", "comp_id")
+    top, bits = written(top, "top"), topk.packed(bits, "comp_id")
+    # Many queries share a compound: each is looked for once.
+    asked = bits.join(top.select("comp_id").distinct(), "comp_id", "left_semi").withColumnRenamed("comp_id", "own")
+    near = topk.sparse(asked, bits, k_neighbours, "own").join(top.withColumnRenamed("comp_id", "own"), "own").select("query_ix", "comp_id")
     spectra = near.join(mapping, "comp_id").join(embeddings.select("spec_id", "vec"), "spec_id").join(queries.select("query_ix", F.col("vec").alias("q")), "query_ix")
     scores = spectra.groupBy("query_ix", "comp_id").agg(F.round(F.max(cosine(F.col("q"), F.col("vec"))), topk.DIGITS).alias("s"))
     scores = written(scores, "neighbours")
     total = scores.groupBy("query_ix").agg(aggregate.weighted_average_score(F.col("s")).alias("weighted_average_score"), F.sum("s").alias("total")).where("total > 0")
     weights = scores.join(total.select("query_ix"), "query_ix", "left_semi").select("query_ix", "comp_id", F.col("s").alias("weight"))
-    parts = weights.select("query_ix", "comp_id").join(bits, "comp_id")
+    parts = weights.select("query_ix", "comp_id").join(topk.unpacked(bits, "comp_id"), "comp_id")
     merged = aggregate.merged_fingerprints(parts, "query_ix", "comp_id", weights)
     # Weights may be negative; a search takes no negative values.
     found = topk.sparse(merged.where("value > 0"), target, k_compounds)
@@ -63,6 +87,10 @@ class Library:
         self.load_model, self.load_generator, self.process = load_model, load_generator, process
         self.settings = MergeSettings.of(store.settings("merging"))
         self.fingerprints = FingerprintSettings(**store.settings("fingerprints"))
+        self._index: index.NeighbourIndex | None = None
+        self._replaced: dict[str, DataFrame | None] = {}
+        self.counts: dict = {}
+        ship(self.spark)
 
     # Tables and settings.
     def table(self, name: str) -> DataFrame:
@@ -70,7 +98,7 @@ class Library:
 
     def sql(self, query: str) -> DataFrame:
         """A query over the tables by name; anything but a query raises ``ValueError``."""
-        if not query.strip().upper().startswith(READS):
+        if not reads_only(self.spark, query):
             raise ValueError("only queries can be run here")
         self.store.register()
         return self.spark.sql(query)
@@ -89,6 +117,7 @@ class Library:
     # Ingest.
     def add_spectra(self, spectra: DataFrame) -> dict:
         """Insert or ignore; ``requested`` rows and those that are ``new``."""
+        spectra = written(spectra, "spectra")
         old = self.table("spectra")
         new = writes.absent_rows(old, spectra, "spec_id", "pos")
         before = old.count()
@@ -114,8 +143,8 @@ class Library:
         bad = [c for _, c in pairs if c is None or len(c) != KEY_LENGTH]
         if bad:
             raise ValueError(f"not 14-character keys: {bad[:3]}")
-        frame = self.spark.createDataFrame([(i, str(s), c) for i, (s, c) in enumerate(pairs)], "pos long, spec_id string, comp_id string")
-        self.store.replace("spec_to_comp", writes.links(self.table("spec_to_comp"), frame), sort=["comp_id"])
+        last = {str(s): c for s, c in pairs}
+        self.store.change("spec_to_comp", self.spark.createDataFrame([*last.items()], "spec_id string, comp_id string"), sort=["comp_id"])
 
     def link(self, spec_id: str, comp_id: str) -> None:
         self.link_many([(spec_id, comp_id)])
@@ -129,9 +158,12 @@ class Library:
             if len(ids[-1]) != KEY_LENGTH:
                 raise ValueError(f"no compound key in {r.get('inchikey')!r}")
         fields = [f.name for f in COMPOUNDS if f.name != "comp_id"]
-        values = [(i, c, *[r.get(f) for f in fields]) for i, (c, r) in enumerate(zip(ids, rows, strict=True))]
-        schema = "pos long, comp_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COMPOUNDS if f.name != "comp_id")
-        self.upsert_compounds(self.spark.createDataFrame(values, schema), "pos")
+        merged: dict[str, dict] = {}
+        for c, r in zip(ids, rows, strict=True):
+            merged.setdefault(c, {}).update({f: r[f] for f in fields if r.get(f) is not None and not (isinstance(r[f], (list, tuple)) and not r[f])})
+        values = [(c, *[r.get(f) for f in fields]) for c, r in merged.items()]
+        schema = "comp_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COMPOUNDS if f.name != "comp_id")
+        self.store.change("compounds", self.spark.createDataFrame(values, schema), sort=["comp_id"])
         return ids
 
     def upsert_compound(self, **row) -> str:
@@ -157,7 +189,7 @@ class Library:
             return self.store.replace("embeddings", compute_embeddings(self.process(self.table("spectra")), self.load_model, self.settings.normalize_sum)).count()
         have = self.table("embeddings")
         before = have.count()
-        todo = self.process(missing_embeddings(self.table("spectra"), have))
+        todo = self.process(lookup.without(self.table("spectra"), have))
         return self.store.append("embeddings", compute_embeddings(todo, self.load_model, self.settings.normalize_sum)).count() - before
 
     def compute_missing_fingerprints(self, name: str = "compounds") -> dict:
@@ -165,9 +197,9 @@ class Library:
             raise RuntimeError("no fingerprint generator is set")
         all_ = self.table(name)
         todo = without_fingerprint(all_)
-        made = compute_fingerprints(todo, self.load_generator, self.fingerprints.sparse)
-        skipped = structureless(all_)
-        new = self.store.replace(f"_{name}_fingerprints", made)
+        made = compute_fingerprints(todo, self.load_generator, self.fingerprints)
+        skipped = structure_counts(all_).first().skipped
+        new = written(made, "fingerprints")
         n = new.agg(F.count("*").alias("attempted"), F.coalesce(F.sum(F.col("failed").cast("int")), F.lit(0)).alias("failed")).first()
         self.store.replace(name, writes.upsert(all_, new.drop("failed"), "comp_id"), sort=["comp_id"])
         return {"attempted": n["attempted"], "updated": n["attempted"] - n["failed"], "failed": n["failed"], "skipped": skipped}
@@ -182,24 +214,51 @@ class Library:
         return self.store.append("merged_spectra", merged.select(*full)).count() - before
 
     # Indexes: derived tables that searches read instead of the source tables once they are there.
-    def build_embedding_index(self, condition: str | None = None) -> int:
-        """Unit vectors of the embeddings (that meet the condition); their number.  No rows or mixed lengths raise ``ValueError``."""
+    def build_embedding_index(self, condition: str | None = None, cells: int | None = None) -> int:
+        """Cells of unit vectors around centroids; how many vectors.  No rows or mixed lengths raise ``ValueError``."""
         rows = self.table("embeddings")
-        rows = rows.where(strip_where(condition)) if condition else rows
-        lookup.one_dimension(rows, may_be_empty=False)
-        index = rows.select("spec_id", "d", l2_normalized(F.col("vec")).cast("array<float>").alias("vec"))
-        return self.store.replace("index_embeddings", index, sort=["spec_id"]).count()
+        built, middles = index.build(rows.where(strip_where(condition)) if condition else rows, cells=cells)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = self.store.replace("index_embeddings", built.repartitionByRange(parts, "cell", "spec_id"), sort=["cell", "spec_id"]).count()
+        listed = [(i, m.tolist()) for i, m in enumerate(middles)]
+        self.store.replace("index_embeddings_centroids", self.spark.createDataFrame(listed, "cell int, vec array<double>"))
+        return n
+
+    def embedding_index(self, probes: int | None = None) -> index.VectorIndex:
+        """The stored index; it must have been built."""
+        middles = self._ready("index_embeddings_centroids").orderBy("cell").collect()  # at most MOST_CELLS rows
+        return index.VectorIndex(self.table("index_embeddings"), np.array([m.vec for m in middles]), probes=probes)
+
+    def set_embedding_index(self, found: index.NeighbourIndex | None) -> None:
+        """The index that spectrum searches ask from now on; None: exact search of the stored vectors."""
+        self._index = found
 
     def build_fingerprint_index(self, name: str = "compounds") -> int:
-        """Postings (bit, comp_id, value) sorted by bit, and L1 norms; the number of compounds.  Negative values raise."""
-        postings = self.store.replace(f"index_{name}", topk.non_negative(self.bits(name)), sort=["bit"])
-        return self.store.replace(f"index_{name}_l1", aggregate.l1_norms(postings, "comp_id"), sort=["comp_id"]).count()
+        """Fingerprints packed by compound, with their L1 norms; how many.  Negative values raise."""
+        rows = self.packed(name)
+        bad = F.raise_error(F.lit("fingerprint values must not be negative")).cast("array<double>")
+        rows = rows.withColumn("vals", F.when(~F.exists("vals", lambda v: v < 0), F.col("vals")).otherwise(bad))
+        l1 = F.aggregate("vals", F.lit(0.0), lambda a, v: a + v)
+        return self.store.replace(f"index_{name}", rows.withColumn("l1", l1), sort=["comp_id"]).count()
+
+    def fingerprint_norms(self, name: str = "compounds") -> DataFrame:
+        """(comp_id, l1) from the stored index."""
+        return self._ready(f"index_{name}").select("comp_id", "l1")
+
+    def set_fingerprint_index(self, name: str, rows: DataFrame | None) -> None:
+        """Fingerprints, (comp_id, bit, value) or packed, that searches read from now on in place of a table's; None: the table's."""
+        self._replaced[name] = rows if rows is None else topk.packed(rows, "comp_id")
 
     def _vectors(self) -> DataFrame:
         return self.table("index_embeddings") if self.store.has("index_embeddings") else self._ready("embeddings")
 
+    def _nearest(self, queries: DataFrame, k: int) -> DataFrame:
+        return self._index.query(queries, k) if self._index is not None else topk.dense(queries, self._vectors(), k)
+
     def _postings(self, name: str) -> DataFrame:
-        return self.table(f"index_{name}") if self.store.has(f"index_{name}") else self.bits(name)
+        if self._replaced.get(name) is not None:
+            return self._replaced[name]
+        return self.table(f"index_{name}").select("comp_id", "bits", "vals") if self.store.has(f"index_{name}") else self.packed(name)
 
     # Lookups.
     def ids(self) -> DataFrame:
@@ -218,6 +277,13 @@ class Library:
     def compound(self, comp_id: str) -> dict | None:
         return lookup.compound(self.table("compounds"), comp_id)
 
+    def fingerprint(self, comp_id: str) -> dict | list | None:
+        """A compound's dense fingerprint, else bit -> value, else None."""
+        row = self.fingerprints_by_ids([comp_id]).first()
+        if row.fp_dense:
+            return list(row.fp_dense)
+        return dict(zip(row.fp_bits, row.fp_values or [1.0] * len(row.fp_bits), strict=True)) if row.fp_bits else None
+
     def unique_compounds(self, more: DataFrame | None = None, key: str = "inchikey14") -> DataFrame:
         """(inchikey14, n_spectra, inchikey), and the columns of a user's table joined on ``key``."""
         found = aggregate.unique_compounds(self.table("spectra"))
@@ -258,11 +324,17 @@ class Library:
         return lookup.embeddings_by_ids(self.table("embeddings"), own, normalized)
 
     # Searches.
-    def bits(self, name: str = "compounds") -> DataFrame:
-        """(comp_id, bit, value) of the compounds that have a fingerprint, of either layout."""
+    def packed(self, name: str = "compounds") -> DataFrame:
+        """(comp_id, bits, vals) of the compounds that have a fingerprint, of either layout; without values each bit counts 1."""
         rows = self.table(name)
-        both = F.when(F.size("fp_bits") > 0, F.struct(F.col("fp_bits").alias("bits"), F.col("fp_values").alias("values"))).when(F.size("fp_dense") > 0, from_dense(F.col("fp_dense")))
-        return exploded(rows.select("comp_id", both.alias("f")).where("f is not null").select("comp_id", F.col("f.bits").alias("fp_bits"), F.col("f.values").alias("fp_values")), "comp_id")
+        ones = F.transform("fp_bits", lambda _: F.lit(1.0).cast("float"))
+        values = F.when(F.size("fp_values") > 0, F.col("fp_values")).otherwise(ones)
+        both = F.when(F.size("fp_bits") > 0, F.struct(F.col("fp_bits").alias("bits"), values.alias("values"))).when(F.size("fp_dense") > 0, from_dense(F.col("fp_dense")))
+        return rows.select("comp_id", both.alias("f")).where("f is not null").select("comp_id", "f.bits", F.col("f.values").cast("array<double>").alias("vals"))
+
+    def bits(self, name: str = "compounds") -> DataFrame:
+        """(comp_id, bit, value), from the stored index if there is one."""
+        return topk.unpacked(self._postings(name), "comp_id")
 
     def _ready(self, name: str) -> DataFrame:
         if not self.store.has(name):
@@ -280,14 +352,14 @@ class Library:
         return made.select(F.col("spec_id").cast("long").alias("query_ix"), "vec")
 
     def query_spectra_by_spectra(self, spectra: DataFrame, k_spectra: int = 10) -> DataFrame:
-        return topk.dense(self._embedded(spectra), self._vectors(), k_spectra)
+        return self._nearest(self._embedded(spectra), k_spectra)
 
     def query_by_spec_ids(self, ids: Sequence[str], k: int = 10) -> DataFrame:
         """(query_ix, query_spec_id, rank, spec_id, score); ``query_ix`` is the place in the request."""
         asked = self._ask(ids).withColumnsRenamed({"pos": "query_ix", "spec_id": "query_spec_id"})
         stored = self._ready("embeddings")
         queries = asked.join(stored.select(F.col("spec_id").alias("query_spec_id"), "vec"), "query_spec_id")
-        return topk.dense(queries, self._vectors(), k).join(asked, "query_ix").select("query_ix", "query_spec_id", "rank", "spec_id", "score")
+        return self._nearest(queries.select("query_ix", "vec"), k).join(asked, "query_ix").select("query_ix", "query_spec_id", "rank", "spec_id", "score")
 
     def query_compounds_by_spectra(self, spectra: DataFrame, k_spectra: int = 100, k_compounds: int = 10, distinct_compounds: bool = False) -> DataFrame:
         if k_compounds > k_spectra:
@@ -310,7 +382,7 @@ class Library:
             rows = structures.withColumn("comp_id", F.col("pos").cast("string"))
             for c in ("smiles", "inchi"):
                 rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
-            made = compute_fingerprints(rows, self.load_generator, self.fingerprints.sparse)
+            made = compute_fingerprints(rows, self.load_generator, self.fingerprints)
             both = made.select(F.col("comp_id").cast("long").alias("pos"), F.when(F.size("fp_bits") > 0, F.struct(F.col("fp_bits").alias("bits"), F.col("fp_values").alias("values"))).otherwise(from_dense(F.col("fp_dense"))).alias("f"))
             structures = both.where("f is not null").select("pos", F.col("f.bits").alias("fp_bits"), F.col("f.values").alias("fp_values"))
         asked = exploded(structures.withColumn("query_ix", F.col("pos").cast("long")), "query_ix")
@@ -350,27 +422,32 @@ class Library:
 
 def create_library(
     spark: SparkSession, spectra_files: list[str], folder: str, compound_file: str | None = None, merge: bool = True,
-    settings: dict | None = None, load_model: Callable | None = None, load_generator: Callable | None = None,
+    settings: dict | None = None, load_model: Callable | None = None, load_generator: Callable | None = None, fingerprints: dict | None = None,
+    create_missing: bool = True,
 ) -> Library:
-    """Read spectra, merge near-identical ones, store and map them; embeddings and fingerprints where a plug-in is given."""
-    chosen = MergeSettings.of(settings)
-    store = TableStore.create(spark, folder, settings={"merging": chosen.to_dict(), "fingerprints": FingerprintSettings().to_dict()})
+    """Read spectra, merge near-identical ones, store and map them; embeddings and fingerprints where a plug-in is given.
+
+    ``settings`` and ``fingerprints`` override the defaults of ``MergeSettings`` and
+    ``FingerprintSettings``; ``counts`` of the result says what was added.
+    """
+    ship(spark)
+    chosen, kind = MergeSettings.of(settings), FingerprintSettings(**(fingerprints or {}))
+    store = TableStore.create(spark, folder, settings={"merging": chosen.to_dict(), "fingerprints": kind.to_dict()})
     library = Library(store, load_model, load_generator)
-    spectra = store.replace("_read", mgf.read(spark, spectra_files))
+    spectra = written(spectra_files_.read(spark, spectra_files), "read")
     if merge:
         merged = merging.merge_spectra(spectra, chosen)
         merged = merged.withColumns({"spec_id": mgf.spectrum_id(F.col("peaks")), "n_peaks": F.size("peaks"), "pos": F.col("cluster_id")})
         rest = spectra if chosen.merge_unannotated else spectra.where("inchikey is null or trim(inchikey) = ''")
         names = ["pos", *SPECTRA.names]
         spectra = merged.select(*names) if chosen.merge_unannotated else merged.select(*names).unionByName(rest.select(*names))
-    library.add_spectra(spectra)
-    library.map_compounds()
+    library.counts = library.add_spectra(spectra) | library.map_compounds(create_missing)
     if load_generator:
-        library.compute_missing_fingerprints()
+        library.counts["fingerprints"] = library.compute_missing_fingerprints()
     if compound_file:
-        library.overwrite_compounds(compound_files.read(spark, compound_file))
+        library.counts["compounds_all"] = library.overwrite_compounds(compound_files.read(spark, compound_file))
     if load_model:
-        library.compute_missing_embeddings()
+        library.counts["embeddings"] = library.compute_missing_embeddings()
     return library
 
 

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import plugins
 from ..functions import fingerprints, keys, tanimoto, vectors
 from ..operators import aggregate, lookup, merging, peaks, topk, writes
 from ..operators.components import components
 from ..settings import MergeSettings
 from ..storage import written
 from .library import analogue_search
-from .views import view, with_views
+from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,7 +27,7 @@ def query(sql: str | None = None):
     """Register a function of a view getter under its name."""
 
     def put(fn):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lambda name: view(spark, sf_dir, name))
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
         if sql:
             SQL[fn.__name__] = with_views(sql)
         return fn
@@ -45,13 +46,6 @@ KNN = """k as (select a.pos as query_ix, b.spec_id, round(list_dot_product(a.vec
     from v_embeddings a, v_embeddings b)"""
 
 
-@query(f"""with {KNN}, r as (select *, row_number() over (partition by query_ix order by score desc, spec_id) as rank from k)
-select query_ix, cast(rank as integer) as rank, spec_id, round(score, 6) as score from r where rank <= 10""")
-def knn_by_spec_ids(v):
-    e = v("v_embeddings")
-    return _round(topk.dense(e.withColumnRenamed("pos", "query_ix"), e, 10), "score")
-
-
 @query(f"""with {KNN}, r as (select *, row_number() over (partition by query_ix order by score desc, spec_id) as n from k),
 h as (select r.*, row_number() over (partition by query_ix order by score desc, spec_id) as rank from r where n <= 40),
 t as (select * from h where rank <= 5)
@@ -87,7 +81,9 @@ def embeddings_normalized(v):
 
 @query("select cast(min(len(vec)) as integer) as low, cast(max(len(vec)) as integer) as high, count(*) as n from v_embeddings")
 def embedding_dimension(v):
-    return v("v_embeddings").agg(F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high"), F.count("*").alias("n"))
+    rows = v("v_embeddings")
+    width = lookup.one_dimension(rows)
+    return rows.agg(F.lit(width).alias("low"), F.lit(width).alias("high"), F.count("*").alias("n"))
 
 
 @query("""with s as (select a.pos as query_ix, c.comp_id, b.spec_id, round(list_cosine_similarity(a.vec::double[], b.vec::double[]), 10) as score
@@ -129,12 +125,14 @@ def compounds_at_last_position(v):
     return rows.select("pos", "comp_id", "smiles", "inchi", "classyfire_class")
 
 
-@query("""with f as (select comp_id, count(*) as n_bits, sum(value) as total from v_fp group by comp_id), r as (select c_custkey as pos, concat('C', cast(c_custkey % 200 as varchar)) as comp_id from customer)
+@query("""with f as (select comp_id, count(*) as n_bits, sum(value) as total from v_fp group by comp_id),
+r as (select c_custkey as pos, concat('C', cast(c_custkey - c_custkey % 4 as varchar)) as comp_id from customer)
 select r.pos, r.comp_id, f.n_bits, f.total from r left join f on r.comp_id = f.comp_id""")
 def fingerprints_for_each_request(v):
-    fps = v("v_fp").groupBy("comp_id").agg(F.count("*").alias("n_bits"), F.sum("value").alias("total"))
-    asked = v("v_request").select("pos", F.concat(F.lit("C"), (F.col("pos") % 200).cast("string")).alias("comp_id"))
-    return lookup.row_for_each(fps, asked, "comp_id").select("pos", "comp_id", "n_bits", "total")
+    rows = topk.packed(v("v_fp"), "comp_id").select("comp_id", F.col("bits").alias("fp_bits"), F.col("vals").alias("fp_values"), F.lit(None).cast("array<float>").alias("fp_dense"))
+    asked = v("v_request").select("pos", F.concat(F.lit("C"), (F.col("pos") - F.col("pos") % 4).cast("string")).alias("comp_id"))
+    found = lookup.fingerprints_by_ids(rows, asked)
+    return found.select("pos", "comp_id", F.when(F.col("fp_bits").isNotNull(), F.size("fp_bits")).cast("long").alias("n_bits"), vectors.total(F.col("fp_values")).alias("total"))
 
 
 @query("""select m.comp_id, s.spec_id, s.precursor_mz, s.ionmode, s.charge, s.adduct from v_spec_to_comp m join v_spectra s on m.spec_id = s.spec_id
@@ -159,13 +157,6 @@ def missing_embeddings(v):
     return lookup.without(v("v_spectra").select("spec_id"), v("v_embeddings"))
 
 
-@query("""select ionmode, count(*) as n, round(avg(precursor_mz), 4) as mean_mz from v_spectra where precursor_mz > 1000 group by ionmode""")
-def sql_over_tables(v):
-    spectra = v("v_spectra").where(keys.strip_where("WHERE precursor_mz > 1000"))
-    sql = "select ionmode, count(*) as n, round(avg(precursor_mz), 4) as mean_mz from {spectra} group by ionmode"
-    return spectra.sparkSession.sql(sql, spectra=spectra)
-
-
 # --- Keys, mapping, compounds -----------------------------------------------------------------
 
 IK14 = """case when inchikey is null or inchikey = '' then null when instr(upper(trim(inchikey)), '-') > 0 then left(split_part(upper(trim(inchikey)), '-', 1), 14)
@@ -240,10 +231,7 @@ def missing_compounds(v):
 @query("""select count(case when smiles is not null and trim(smiles) <> '' then 1 end) as with_smiles, count(case when (smiles is null or trim(smiles) = '') and inchi is not null then 1 end) as inchi_only,
     count(case when (smiles is null or trim(smiles) = '') and inchi is null then 1 end) as skipped from v_updates""")
 def structure_counts(v):
-    has = F.coalesce(keys.present(F.col("smiles")), F.lit(False))
-    inchi = F.coalesce(keys.present(F.col("inchi")), F.lit(False))
-    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    return v("v_updates").agg(n(has, "with_smiles"), n(~has & inchi, "inchi_only"), n(~has & ~inchi, "skipped"))
+    return plugins.structure_counts(v("v_updates"))
 
 
 # --- Fingerprints -----------------------------------------------------------------------------
@@ -494,14 +482,17 @@ fs as (select sm.query_ix, sm.comp_id, round(smin / (ml.l1 + n.l1 - smin), 10) a
 fr as (select *, row_number() over (partition by query_ix order by score desc, comp_id) as rank from fs)
 select fr.query_ix, cast(rank as integer) as rank, comp_id, round(score, 5) as score, round(was, 5) as weighted_average_score from fr join tt on fr.query_ix = tt.query_ix where rank <= 5""")
 def analogue_search_topk(v):
-    e, fp = v("v_embeddings"), written(v("v_fp"), "fingerprints")  # read by five of its steps
+    e, fp = v("v_embeddings"), written(topk.packed(v("v_fp"), "comp_id"), "fingerprints")  # read by several of its steps
     out = analogue_search(e.withColumnRenamed("pos", "query_ix").select("query_ix", "vec"), e.select("spec_id", "vec"), v("v_emb_map"), fp, fp, 5)
     return out.withColumns({c: F.round(c, 5) for c in ("score", "weighted_average_score")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import library_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

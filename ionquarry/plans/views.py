@@ -26,8 +26,9 @@ VIEWS = {
     "v_fp": """select concat('C', cast(l_suppkey as string)) as comp_id, l_partkey as bit, cast(count(*) as double) as value
         from {lineitem} group by l_suppkey, l_partkey""",
     "v_groups": """select concat('C', cast(s_suppkey as string)) as comp_id, s_nationkey as grp, s_suppkey % 3 + 1 as weight from {supplier}""",
-    "v_request": """select c_custkey as pos, cast((c_custkey % 400) * 3 as string) as spec_id,
-        upper(substr(md5(cast((c_custkey % 300) * 2 as string)), 1, 14)) as comp_id from {customer}""",
+    # Requests over the whole range of keys: some repeated, some that nothing has.
+    "v_request": """select c_custkey as pos, cast((c_custkey - c_custkey % 2) * 11 as string) as spec_id,
+        upper(substr(md5(cast((c_custkey - c_custkey % 3) * 2 as string)), 1, 14)) as comp_id from {customer}""",
     "v_keys": """select c_custkey as pos, case c_custkey % 9 when 0 then null when 1 then '' when 2 then 'ab-cd'
         when 3 then concat(' ', substr(md5(cast(c_custkey as string)), 1, 14), '-UHFF-N ') when 4 then md5(cast(c_custkey as string))
         when 5 then 'short' when 6 then '-X' when 7 then concat(md5(cast(c_custkey as string)), '-A')
@@ -43,6 +44,16 @@ VIEWS = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+class Views:
+    """The views over the tables of a folder, by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return view(self.spark, self.folder, name)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = set(_NAME.findall(VIEWS[name]))
     return spark.sql(VIEWS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

@@ -1,13 +1,16 @@
 """Places for an embedding model and a fingerprint generator.
 
-Neither ships here.  A model is a function that gives a loaded object with
+A model is a function that gives a loaded object with
 ``embed(list of (mz, intensity, metadata)) -> 2-D array``; a generator one with
 ``fingerprint(smiles, inchi) -> dict bit -> count, 1-D array or None``.  Each is loaded
-once in a Python worker.
+once in a Python worker; a loader that takes an argument gets the settings.  None
+ships here but :class:`Morgan`, which needs the package rdkit.
 """
 
 from __future__ import annotations
 
+import importlib
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,22 +19,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.fingerprints import prepared, scaled_dense, stored
 from .functions.keys import present
 from .functions.vectors import l2_normalized, sum_normalized
+from .settings import FingerprintSettings
 
 _LOADED: dict[str, object] = {}
 
 
-def loaded(load: Callable, key: str):
+def loaded(load: Callable, key: str, *given):
+    """The object of a loader, one for each key and worker; ``given`` is passed on if the loader takes an argument."""
     if key not in _LOADED:
-        _LOADED[key] = load()
+        try:
+            takes = any(p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) for p in inspect.signature(load).parameters.values())
+        except ValueError:  # built in
+            takes = False
+        _LOADED[key] = load(*given) if takes else load()
     return _LOADED[key]
 
 
 def external(package: str, what: str):
     """A loader that says which package is missing."""
-    import importlib
-
     try:
         return importlib.import_module(package)
     except ModuleNotFoundError as missing:
@@ -62,39 +70,79 @@ def compute_embeddings(spectra: DataFrame, load: Callable, normalize_spectrum: b
     return out.withColumn("vec", l2_normalized(F.col("vec")).cast("array<float>")) if normalize_embedding else out
 
 
-def missing_embeddings(spectra: DataFrame, embeddings: DataFrame) -> DataFrame:
-    return spectra.join(embeddings.select("spec_id"), "spec_id", "left_anti")
-
-
-def compute_fingerprints(compounds: DataFrame, load: Callable, sparse: bool = True, key: str = "generator") -> DataFrame:
+class Morgan:
+    """Morgan fingerprints by the package rdkit: counts by bit, unfolded, or an array of ``n_bits``."""
+
+    def __init__(self, settings: FingerprintSettings):
+        self.settings, self.chem = settings, external("rdkit.Chem", "the Morgan fingerprint")
+        kind = external("rdkit.Chem.rdFingerprintGenerator", "the Morgan fingerprint")
+        self.made = kind.GetMorganGenerator(radius=settings.radius, fpSize=settings.n_bits)
+
+    def molecule(self, smiles: str | None, inchi: str | None):
+        """Strictly read, else with the checks of valences left out; None if that fails too."""
+        chem = self.chem
+        if not smiles:
+            found = chem.MolFromInchi(inchi)
+            smiles = chem.MolToSmiles(found) if found is not None else None
+        if not smiles:
+            return None
+        strict = chem.MolFromSmiles(smiles)
+        if strict is not None:
+            return strict
+        loose = chem.MolFromSmiles(smiles, sanitize=False)
+        if loose is None:
+            return None
+        flags = chem.SanitizeFlags
+        steps = ("FINDRADICALS", "KEKULIZE", "SETAROMATICITY", "SETCONJUGATION", "SETHYBRIDIZATION", "SYMMRINGS")  # fixed values
+        loose.UpdatePropertyCache(strict=False)
+        chem.SanitizeMol(loose, sum(int(getattr(flags, f"SANITIZE_{s}")) for s in steps), catchErrors=True)
+        return loose
+
+    def fingerprint(self, smiles: str | None, inchi: str | None):
+        try:
+            found = self.molecule(smiles, inchi)
+        except RuntimeError as bad:  # rdkit's own errors
+            raise ValueError(str(bad)) from bad
+        if found is None:
+            return None
+        if self.settings.sparse:
+            return dict(self.made.GetSparseCountFingerprint(found).GetNonzeroElements())
+        return self.made.GetCountFingerprintAsNumPy(found) if self.settings.count else self.made.GetFingerprintAsNumPy(found)
+
+
+def compute_fingerprints(compounds: DataFrame, load: Callable, settings: FingerprintSettings = FingerprintSettings(), key: str = "generator") -> DataFrame:
     """(comp_id, fp_bits, fp_values, fp_dense, failed): smiles first, InChI only where that is blank.
 
-    A structure that can't be read gives null fingerprints; rows stay on their key.
+    Counts are scaled and weighted as the settings say; without ``count`` a bit's
+    value is 1.  A structure that can't be read gives null fingerprints; rows stay on their key.
     """
     rows = compounds.select(
         "comp_id", F.when(present(F.col("smiles")), F.col("smiles")).alias("smiles"),
         F.when(~F.coalesce(present(F.col("smiles")), F.lit(False)) & present(F.col("inchi")), F.col("inchi")).alias("inchi"),
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generator = loaded(load, key)
-        for pdf in frames:
-            out = []
-            for comp, smiles, inchi in pdf.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        generator = loaded(load, f"{key} {settings}", settings)
+        for b in batches:
+            found = []
+            for smiles, inchi in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
-                    fp = generator.fingerprint(smiles, inchi)
+                    found.append(generator.fingerprint(smiles, inchi))
                 except ValueError:
-                    fp = None
-                if fp is None:
-                    out.append((comp, None, None, None, True))
-                elif sparse:
-                    bits = sorted(fp)
-                    out.append((comp, bits, [float(fp[b]) for b in bits], None, False))
-                else:
-                    out.append((comp, None, None, [float(v) for v in fp], False))
-            yield pd.DataFrame(out, columns=["comp_id", "fp_bits", "fp_values", "fp_dense", "failed"])
-
-    return rows.mapInPandas(run, "comp_id string, fp_bits array<bigint>, fp_values array<float>, fp_dense array<float>, failed boolean")
+                    found.append(None)
+            shown = [None if f is None else sorted((int(k), float(v)) for k, v in f.items()) if settings.sparse else [float(v) for v in f] for f in found]
+            kind = pa.map_(pa.int64(), pa.float64()) if settings.sparse else pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shown, kind), pa.array([f is None for f in found])], names=["comp_id", "raw", "failed"])
+
+    out = rows.mapInArrow(run, f"comp_id string, raw {'map<bigint,double>' if settings.sparse else 'array<double>'}, failed boolean")
+    none = lambda kind: F.lit(None).cast(kind)
+    raw = F.col("raw")
+    if settings.sparse:
+        ready = prepared(raw if settings.count else F.transform_values(raw, lambda k, v: F.lit(1.0)), settings.scaling, settings.weights)
+        cells = [F.when(raw.isNotNull(), stored(True, ready))["bits"].alias("fp_bits"), F.when(raw.isNotNull(), ready["values"]).alias("fp_values"), none("array<float>").alias("fp_dense")]
+    else:
+        cells = [none("array<bigint>").alias("fp_bits"), none("array<float>").alias("fp_values"), stored(False, scaled_dense(raw, settings.scaling, settings.weights)).alias("fp_dense")]
+    return out.select("comp_id", *cells, "failed")
 
 
 def without_fingerprint(compounds: DataFrame) -> DataFrame:
@@ -103,6 +151,8 @@ def without_fingerprint(compounds: DataFrame) -> DataFrame:
     return compounds.where(none & F.coalesce(present(F.col("smiles")) | present(F.col("inchi")), F.lit(False)))
 
 
-def structureless(compounds: DataFrame) -> int:
-    """How many compounds have neither."""
-    return compounds.where(~F.coalesce(present(F.col("smiles")), F.lit(False)) & ~F.coalesce(present(F.col("inchi")), F.lit(False))).count()
+def structure_counts(compounds: DataFrame) -> DataFrame:
+    """(with_smiles, inchi_only, skipped): what a generator reads of each compound."""
+    smiles, inchi = (F.coalesce(present(F.col(c)), F.lit(False)) for c in ("smiles", "inchi"))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return compounds.agg(n(smiles, "with_smiles"), n(~smiles & inchi, "inchi_only"), n(~smiles & ~inchi, "skipped"))
