@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import discard, release_shuffles, scratch, written
 
-__all__ = ["WordIds", "bounded_batches", "discard", "open_fs", "release_shuffles", "scratch", "shuffle_parts", "slices", "table", "trimmed", "written"]
+__all__ = ["WordIds", "bounded_batches", "discard", "numbered", "open_fs", "release_shuffles", "scratch", "shuffle_parts", "slices", "table", "trimmed", "written"]
 
-#: Text bytes that a worker takes up at once, and rows of an Arrow batch.
+#: Text bytes that a worker takes up at once; Spark bounds the bytes of an Arrow batch (maxBytesPerBatch).
 BYTES, ROWS = 8 << 20, 2000
 
 
@@ -46,6 +47,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A table of the rows with ``name``, numbers from 0 without gaps in the order of partitions and rows."""
+    held = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    firsts, at = [], 0
+    for p, n in sorted(held.groupBy(part.alias("p")).count().collect()):  # a row a partition
+        firsts += [F.lit(p), F.lit(at)]
+        at += n
+    base = F.element_at(F.create_map(*firsts), part) if firsts else F.lit(0)
+    out = held.withColumn(name, (base + F.col("__at").bitwiseAND(2**33 - 1)).cast("long")).drop("__at")
+    out._ionquarry_uri = held._ionquarry_uri
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of a string or binary column, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
