@@ -17,9 +17,10 @@ doc_id, judged on the input.
    are compared, and the smallest doc_id of each hash decides.  Starts belong to
    a text, which has a number of its own: a doc_id may have several texts.
 
-Groups are aggregated with map-side partial minima and joined back, so a passage
-in a third of the documents is never gathered in one task; per-document lists
-are bounded by the document's length.
+Groups are aggregated with map-side partial minima and joined back by
+``joined_back``, where adaptive execution splits a hot key, so a passage in a
+third of the documents is never gathered in one task; per-document lists are
+bounded by the document's length.
 
 Defined cases: null text has no words; texts under 50 words lose nothing; a null
 doc_id comes after all others; rows that share a doc_id never remove words from
@@ -37,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordIds, bounded_batches, discard, release_shuffles, slices, trimmed, written
+from ._common import WordIds, discard, numbered, release_shuffles, slices, trimmed, written
+from ..operators.joins import joined_back
 
 #: A perfect difference set: every non-zero residue mod 31 is one difference of it (fixed values).
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -155,24 +157,9 @@ def _sha(text: str) -> Column:
     return F.unhex(F.sha2(words, 256))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """A table of the rows with ``seq``, numbers from 0 without gaps."""
-    held = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("__at", 33)
-    firsts, at = [], 0
-    for p, n in sorted(held.groupBy(part.alias("p")).count().collect()):
-        firsts += [F.lit(p), F.lit(at)]
-        at += n
-    base = F.element_at(F.create_map(*firsts), part) if firsts else F.lit(0)
-    out = held.withColumn("seq", (base + F.col("__at").bitwiseAND(2**33 - 1)).cast("long")).drop("__at")
-    out._ionquarry_uri = held._ionquarry_uri
-    return out
-
-
 def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """(a row per document: ord, doc_id, n_words, sha, rep), (cut texts: rep, sha, rep_removed, kept_text)."""
     spark = docs.sparkSession
-    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("ord"), F.col(f"`{text}`").alias("text")
     )
@@ -186,8 +173,8 @@ def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataF
     release_shuffles(spark)
     spots = reps.select("rep", "sha", F.posexplode("anchors").alias("k", "h"))
     shared = spots.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
-    hits = spots.join(shared, "h").groupBy("rep", "sha").agg(F.collect_list("k").alias("hits"))
-    hits = _numbered(hits)
+    hits = joined_back(spots, shared, "h").groupBy("rep", "sha").agg(F.collect_list("k").alias("hits"))
+    hits = numbered(hits, "seq")
     discard(reps)
     release_shuffles(spark)
     found = rows.withColumn("own", _sha("text"))
@@ -204,11 +191,11 @@ def _analysed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataF
     for half in range(2):
         some = windows.where(F.shiftrightunsigned("g", 63) == half).select("h", "g", "ord", place.alias("place"))
         first = some.groupBy("h", "g").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").drop("hi")
-        rounds.append(written(some.join(first, ["h", "g"]).where("ord > lo").groupBy(seq.alias("seq")).agg(F.collect_set(at).alias("starts")), "starts"))
+        rounds.append(written(joined_back(some, first, ["h", "g"]).where("ord > lo").groupBy(seq.alias("seq")).agg(F.collect_set(at).alias("starts")), "starts"))
         release_shuffles(spark)
     discard(windows)
     starts = rounds[0].union(rounds[1]).groupBy("seq").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    cut = near.select("ord", "seq", "sha", "text").join(starts, "seq").select("ord", "sha", "text", "starts")
+    cut = joined_back(near.select("ord", "seq", "sha", "text"), starts, "seq").select("ord", "sha", "text", "starts")
     cut = cut.mapInArrow(trimmed(_cut), "rep long, sha binary, rep_removed long, kept_text string")
     cut = written(cut, "cut").dropDuplicates(["rep", "sha"])
     discard(near)
@@ -223,7 +210,7 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     and empty where everything is.
     """
     each, cut = _analysed(docs, text, doc_id)
-    joined = each.join(cut, ["rep", "sha"], "left")
+    joined = joined_back(each, cut, ["rep", "sha"], "left")
     copy = F.coalesce(F.col("ord") > F.col("rep"), F.lit(False))
     gone = F.when(copy, F.col("n_words")).otherwise(F.coalesce("rep_removed", F.lit(0)))
     kept = F.when(copy, F.lit("")).otherwise(F.col("kept_text"))
@@ -242,7 +229,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     Rows that share a doc_id are told apart by their word sequence.
     """
     each, cut = _analysed(docs, text, doc_id)
-    joined = each.join(cut, ["rep", "sha"], "left")
+    joined = joined_back(each, cut, ["rep", "sha"], "left")
     copy = F.coalesce(F.col("ord") > F.col("rep"), F.lit(False))
     new = joined.where(copy | F.col("kept_text").isNotNull()).select(
         F.col("ord").alias("__ord"), F.hex("sha").alias("__sha"), F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("__kept")
