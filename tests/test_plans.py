@@ -1,4 +1,4 @@
-"""Plans: no join without keys, filters and columns reach the scans, limits reach the windows."""
+"""Plans: filters and columns reach the scans, limits reach the windows."""
 
 from pathlib import Path
 
@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionquarry.operators import lookup, topk
-from ionquarry.plans import queries as q
 from ionquarry.plans.views import VIEWS, view
 
 DATA = "/root/testdata/sf0.001"
@@ -17,12 +16,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(q.queries()))
-def test_no_join_without_keys(spark, name):
-    text = plan(q.queries()[name](spark, DATA))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     orders = spark.read.parquet(f"{DATA}/orders.parquet")
     text = plan(orders.where(F.col("o_orderkey") == 7).select("o_orderkey", "o_totalprice"))
