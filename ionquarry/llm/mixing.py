@@ -6,23 +6,29 @@ again by weight among the others, until none is above.  A document of a source
 with rate target / size is taken floor(rate) times for sure and once more with
 the fractional rest as its inclusion probability.
 
-Those probabilities are rounded by the flight of the cube method: of three
-documents with undecided probabilities, a direction in the null space of the
+Rows of one source with equal doc_id, size and text are one unit: of c such rows with
+probability p each, floor(c * p) are taken once more and the rest of c * p is the
+unit's probability.  So the flights see distinct units, however often a row is
+repeated, and chunks chosen by a hash of doc_id, size and text stay small.
+
+The probabilities are rounded by the flight of the cube method: of three
+units with undecided probabilities, a direction in the null space of the
 balancing constraints (the source's total size and its number of documents)
 moves them, up or down with the odds that keep expectations, until one is 0 or 1
-and the next document takes its place.  Flights run in chunks of about ``CHUNK``
-documents of one source, chosen by a hash of doc_id; each leaves at most
-``LANDING`` documents undecided, which fly on together in chunks of chunks until
-one chunk is left.  Its last documents are the landing: of all ways to decide
-them, that which brings the source's total nearest to its target.  Chance comes from hashes of
-doc_id, so reruns agree.
+and the next unit takes its place.  Flights run in chunks of about ``CHUNK``
+units of one source; each leaves at most
+``LANDING`` units undecided, which fly on together in chunks of chunks until
+one chunk is left.  Its last units are the landing: of all ways to decide
+them, that which brings the source's total nearest to its target.  Chance comes from hashes, so
+reruns agree.
 
-Only a row per source reaches the driver.
+Sources are numbered in a range-partitioned table and their targets found by sums
+over it, so any number of them stays distributed.
 
 Defined cases: null and blank texts have size 0 and are taken 0 words (but still
 once or more as documents); a null source is a source, last in order; a source
-without words has target 0; repeated rows are told apart by their number; ties in
-doc_id and size are interchangeable; other columns are ignored by ``plan`` and
+without words has target 0; which of several equal rows is taken more often is left
+open; other columns are ignored by ``plan`` and
 kept by ``mix``; an empty table gives an empty table.
 """
 
@@ -36,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import written
+from ._common import numbered, shuffle_parts, written
+from ..operators.joins import joined_back
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -47,22 +54,33 @@ LANDING = 14
 EPS = 1e-9
 
 
-def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST_TIMES) -> dict:
-    """Target of each source; ``sizes``: its size."""
-    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode("utf-8", "surrogatepass")) + [None] * (None in sizes)
-    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
-    left, out, open_ = budget * sum(sizes.values()), {}, list(names)
-    while open_:
-        each = left / sum(weight[n] for n in open_)
-        full = [n for n in open_ if each * weight[n] > most * sizes[n]]
-        if not full:
-            out.update({n: each * weight[n] for n in open_})
+def sources(rows: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST_TIMES) -> DataFrame:
+    """(name, source_size, n, target) of ``rows(source, size)``; ``n``: how many rows.
+
+    A source is full if its share by weight is above ``most`` times its size; what
+    the others share rises as sources become full, so the rounds end, each one
+    sum over the table.
+    """
+    held = rows.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    order = [F.col("name").isNull().alias("__null"), F.encode("name", "UTF-8").alias("__bytes")]
+    held = held.withColumns({"__null": order[0], "__bytes": order[1]}).repartitionByRange(shuffle_parts(rows.sparkSession), "__null", "__bytes")
+    held = numbered(held.sortWithinPartitions("__null", "__bytes").drop("__null", "__bytes"), "ix")
+    weight = F.element_at(F.lit(list(weights)).cast("array<double>"), (F.col("ix") % len(weights)).cast("int") + 1)
+    held = held.withColumn("w", weight)
+    total = held.agg(F.sum("source_size")).first()[0] or 0
+    each = 0.0
+    while True:
+        full = F.lit(each) * F.col("w") > F.lit(most) * F.col("source_size")
+        taken, left = held.agg(F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("w")))).first()
+        if not left:
             break
-        for n in full:
-            out[n] = most * sizes[n]
-            left -= out[n]
-        open_ = [n for n in open_ if n not in full]
-    return out
+        now = (budget * total - most * (taken or 0)) / left
+        if now <= each:
+            break
+        each = now
+    share = F.lit(each) * F.col("w")
+    limit = F.lit(most) * F.col("source_size")
+    return held.select("name", "source_size", "n", F.when(share > limit, limit).otherwise(share).cast("double").alias("target"))
 
 
 def _chance(key: int, step: int) -> float:
@@ -111,17 +129,18 @@ def landing(units: list[tuple[int, float]], owed: float) -> list[int]:
     return picks[np.lexsort((count, np.round(off, 6)))[0]].tolist()
 
 
-def sized(docs: DataFrame, text: str = "text"):
-    """Number of words of a text, as a column."""
-    return F.size(F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+def _size(text):
+    """Number of words of a text."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
 
 
-SCHEMA = "source string, n long, doc_id long, size long, key long, p double"
+UNIT = ["source", "doc_id", "size", "body"]
+SCHEMA = "source string, doc_id long, size long, body long, key long, p double"
 
 
 def _fly(level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "doc_id", "size", "n"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["key", "doc_id", "size", "body"], kind="stable").reset_index(drop=True)
         units = list(zip(pdf["key"].tolist(), pdf["size"].tolist(), pdf["p"].tolist(), strict=True))
         # What is left for the landing is of all sizes, so that its sums can come near to any total.
         ranked = sorted(range(len(units)), key=lambda i: (units[i][1], i))
@@ -131,73 +150,90 @@ def _fly(level: int):
         for at, value in flight((units[i] for i in fly), level):
             p[fly[at]] = float(value)
         pdf["p"] = p
-        return pdf.drop(columns="chunk")
+        return pdf[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     return run
 
 
+def _land(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Decide the at most ``LANDING`` units that a source has left; what they owe is their expected size."""
+    pdf = pdf.sort_values(["key", "doc_id", "size", "body"], kind="stable").reset_index(drop=True)
+    units = list(zip(pdf["size"].tolist(), pdf["p"].tolist(), strict=True))
+    pdf["p"] = [float(x) for x in landing(units, sum(s * p for s, p in units))]
+    return pdf[[c.split()[0] for c in SCHEMA.split(", ")]]
+
+
+def _nulls(*names: str) -> list:
+    """Columns without nulls, two for each name, by which rows can be joined plainly."""
+    low = {"source": F.lit(""), "doc_id": F.lit(-(2**63))}
+    return [c for n in names for c in ((F.coalesce(n, low[n]).alias(f"__{n}"), F.col(n).isNull().alias(f"__{n}_null")) if n in low else (F.col(n).alias(f"__{n}"),))]
+
+
+_KEYS = ["__source", "__source_null", "__doc_id", "__doc_id_null", "__size", "__body"]
+
+
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(n, doc_id, source, size, source_size, target, times): a row per row; ``n`` tells repeated rows apart."""
-    spark = docs.sparkSession
-    ident = F.col(f"`{doc_id}`").cast("long")
-    rows = docs.select(F.col(f"`{source}`").cast("string").alias("source"), ident.alias("doc_id"), sized(docs, text).alias("size"))
-    rows = written(rows.withColumn("n", F.monotonically_increasing_id()), "sizes")
-    sums = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    want = targets({s: v[0] for s, v in sums.items()}, weights)
-    listed = [(s, v[0], float(want[s]), want[s] / v[0] if v[0] else 1.0, max(1, -(-v[1] // CHUNK))) for s, v in sums.items()]
-    by_source = spark.createDataFrame(listed, "name string, source_size long, target double, rate double, chunks int")
-    rows = rows.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("name"))).drop("name")  # a row per source
+    """(n, doc_id, source, size, source_size, target, times): a row per row; ``n`` tells rows apart."""
+    ident, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{source}`").cast("string").alias("source"), ident.alias("doc_id"), _size(body).alias("size"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("body"))
+    return _planned(written(rows.withColumn("n", F.monotonically_increasing_id()), "sizes"), weights).select("n", "doc_id", "source", "size", "source_size", "target", "times")
+
+
+def _planned(rows: DataFrame, weights: tuple) -> DataFrame:
+    """``rows(source, doc_id, size, body, n)``, written, with source_size, target, times."""
+    by_source = written(sources(rows, weights), "sources")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
+    by_source = by_source.withColumns({"rate": rate, "chunks": F.ceil(F.col("n") / CHUNK).cast("int")})
+    most = by_source.agg(F.max("chunks")).first()[0] or 1
     floor = F.floor("rate").cast("int")
-    rows = rows.withColumn("sure", floor).withColumn("p", F.col("rate") - floor).withColumn("key", F.xxhash64("doc_id", "size"))
-    whole = F.when(F.col("p") < EPS, 0.0).when(F.col("p") > 1 - EPS, 1.0)
-    rows = rows.withColumn("p", F.coalesce(whole, F.col("p"))).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("chunks")).cast("int"))
-    undecided = rows.where("p > 0 and p < 1").select("source", "n", "doc_id", "size", "key", "p", "chunk")
-
-    most, level, decided = max([1, *(r[4] for r in listed)]), 0, []
+    info = by_source.select(F.coalesce("name", F.lit("")).alias("__source"), F.col("name").isNull().alias("__source_null"), "source_size", "target", floor.alias("sure"), (F.col("rate") - floor).alias("part"), "chunks")
+
+    units = rows.groupBy(*UNIT).agg(F.count("*").alias("c")).select("*", *_nulls("source"))
+    # Plain shuffles on both sides: a hot source is split, few sources are broadcast.
+    units = units.join(info.select("__source", "__source_null", "part", "chunks"), ["__source", "__source_null"])
+    want = F.col("c") * F.col("part")
+    more = F.floor(want + EPS).cast("long")
+    p = F.greatest(want - more, F.lit(0.0))
+    units = units.withColumns({"more": more, "p": F.when(p < EPS, 0.0).otherwise(p), "key": F.xxhash64("doc_id", "size", "body")})
+    units = written(units.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(5)), F.col("chunks")).cast("int")).select(*UNIT, "c", "more", "p", "key", "chunk"), "units")
+
+    undecided, level, decided = units.where("p > 0").select(*UNIT, "key", "p", "chunk"), 0, []
     while True:
-        flown = written(undecided.groupBy("source", "chunk").applyInPandas(_fly(level), SCHEMA).withColumn("level", F.lit(level)), "flight")
+        flown = written(undecided.groupBy("source", "chunk").applyInPandas(_fly(level), SCHEMA), "flight")
         decided.append(flown.where("p in (0, 1)"))
-        rest = flown.where("p not in (0, 1)").drop("level")
+        rest = flown.where("p not in (0, 1)")
         if most == 1:
             break
         most, level = -(-most // (CHUNK // LANDING)), level + 1
         undecided = rest.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(most)).cast("int"))
-
-    # At most LANDING documents of each source are left; what they owe is their expected size.
-    left: dict = {}
-    for r in rest.orderBy("source", "doc_id", "n").toLocalIterator():
-        left.setdefault(r["source"], []).append(r)
-    landed = [
-        (r["n"], bit) for units in left.values()
-        for r, bit in zip(units, landing([(u["size"], u["p"]) for u in units], sum(u["size"] * u["p"] for u in units)), strict=True)
-    ]
-    chosen = decided[0].select("n", F.col("p").cast("int").alias("once"))
-    for more in decided[1:]:
-        chosen = chosen.union(more.select("n", F.col("p").cast("int")))
-    if landed:
-        chosen = chosen.union(spark.createDataFrame(landed, "n long, once int"))
-    out = rows.join(chosen, "n", "left").withColumn("times", F.col("sure") + F.coalesce("once", F.col("p").cast("int")))
-    return out.select("n", "doc_id", "source", "size", "source_size", "target", "times")
+    decided.append(rest.groupBy("source").applyInPandas(_land, SCHEMA))
+    chosen = decided[0]
+    for some in decided[1:]:
+        chosen = chosen.unionByName(some)
+    chosen = chosen.where("p = 1").select(*_nulls(*UNIT), F.lit(1).alias("once"))
+
+    # What the rows of a unit take beyond the sure times: nearly all units are one row.
+    told = units.select(*_nulls(*UNIT), "c", "more").join(chosen, _KEYS, "left").select(*_KEYS, "c", (F.col("more") + F.coalesce("once", F.lit(0))).alias("extra"))
+    out = joined_back(rows.select("*", *_nulls(*UNIT)), told.where("extra > 0"), _KEYS, "left").join(info.select("__source", "__source_null", "source_size", "target", "sure"), ["__source", "__source_null"])
+    out = out.withColumn("again", F.when(F.coalesce("extra", F.lit(0)) == 0, 0).when(F.col("extra") >= F.col("c"), 1))
+    some = out.where("again is null")
+    # Rows of a unit are numbered by parts of the table, so that a unit of any size is never one group.
+    part = F.shiftright("n", 33).alias("__part")
+    some = some.select("*", part).withColumn("__i", F.row_number().over(Window.partitionBy(*_KEYS, "__part").orderBy("n")))
+    before = Window.partitionBy(*_KEYS).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = some.groupBy(*_KEYS, "__part").agg(F.count("*").alias("__c")).withColumn("__first", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    some = some.join(firsts, [*_KEYS, "__part"]).withColumn("again", (F.col("__first") + F.col("__i") <= F.col("extra")).cast("int"))
+    names = ["n", "doc_id", "source", "size", "source_size", "target"]
+    both = out.where("again is not null").select(*names, "sure", "again").unionByName(some.select(*names, "sure", "again"))
+    return both.select(*names, (F.col("sure") + F.col("again")).alias("times"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mix: every row as often as it is taken, with the columns of ``docs``.
-
-    Rows that share doc_id, source and size are interchangeable: they are taken
-    as often in all as the plan says.
-    """
-    low = F.lit(-(2**63))
-    key = lambda d, s, w: [  # noqa: E731  without nulls, so that it joins by plain equality
-        F.coalesce(d, low).alias("__d"), d.isNull().alias("__dn"), F.coalesce(s, F.lit("")).alias("__s"), s.isNull().alias("__sn"), w.alias("__w"),
-    ]
-    names = ["__d", "__dn", "__s", "__sn", "__w"]
-    taken = plan(docs, weights, text, doc_id, source)
-    taken = taken.select(*key(F.col("doc_id"), F.col("source"), F.col("size")), "times", "n")
-    taken = taken.withColumn("__i", F.row_number().over(Window.partitionBy(*names).orderBy("n"))).drop("n")
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-        *key(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{source}`").cast("string"), sized(docs, text)),
-    )
-    keyed = keyed.withColumn("__i", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
-    joined = keyed.join(taken, [*names, "__i"]).where("times > 0")
-    return joined.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("__n")).select("__row.*")
+    """The mix: every row as often as it is taken, with the columns of ``docs``."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("n"))
+    whole = written(whole, "mix-rows")
+    cell = lambda c: F.col("__row")[c]
+    light = whole.select(cell(source).cast("string").alias("source"), cell(doc_id).cast("long").alias("doc_id"), _size(cell(text)).alias("size"), F.xxhash64(F.coalesce(cell(text), F.lit(""))).alias("body"), "n")
+    times = _planned(written(light, "sizes"), weights).where("times > 0").select("n", "times")
+    taken = whole.join(times, "n")
+    return taken.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("__n")).select("__row.*")
