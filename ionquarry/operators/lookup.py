@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalized
+from ..functions.vectors import l2_normalized, peaks_f32
 from ..schema import METADATA_FIELDS
 
 
@@ -42,13 +42,13 @@ def spectra_by_ids(spectra: DataFrame, asked: DataFrame) -> DataFrame:
     return in_request_order(spectra, asked)
 
 
-def fragments_by_ids(spectra: DataFrame, asked: DataFrame) -> DataFrame:
-    """(pos, spec_id, peaks)."""
-    return in_request_order(spectra.select("spec_id", "peaks"), asked)
+def fragments_by_ids(spectra: DataFrame, asked: DataFrame, single: bool = False) -> DataFrame:
+    """(pos, spec_id, peaks), in single precision if asked for."""
+    return in_request_order(spectra.select("spec_id", (peaks_f32(F.col("peaks")) if single else F.col("peaks")).alias("peaks")), asked)
 
 
 def metadata_by_ids(spectra: DataFrame, asked: DataFrame, fields: Sequence[str] = METADATA_FIELDS) -> DataFrame:
-    return row_for_each(spectra.select("spec_id", *[f for f in fields if f in spectra.columns]), asked)
+    return row_for_each(spectra.select("spec_id", *having(spectra, fields)), asked)
 
 
 def embeddings_by_ids(embeddings: DataFrame, asked: DataFrame | None = None, normalized: bool = True) -> DataFrame:
@@ -99,9 +99,9 @@ def spectra_of_comp_ids(mapping: DataFrame, asked: DataFrame) -> DataFrame:
 
 def metadata_by_comp_ids(mapping: DataFrame, spectra: DataFrame, asked: DataFrame, fields: Sequence[str] = METADATA_FIELDS) -> DataFrame:
     """(comp_id, spec_id, metadata) of all spectra of the requested compounds."""
-    rows = spectra.select("spec_id", *[f for f in fields if f in spectra.columns])
+    rows = spectra.select("spec_id", *having(spectra, fields))
     own = spectra_of_comp_ids(mapping, asked)
-    return own.join(rows, "spec_id").select("comp_id", "spec_id", *[f for f in fields if f in spectra.columns])
+    return own.join(rows, "spec_id").select("comp_id", "spec_id", *having(rows, fields))
 
 
 def without(table: DataFrame, done: DataFrame, key: str = "spec_id") -> DataFrame:

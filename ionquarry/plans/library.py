@@ -219,9 +219,10 @@ class Library:
         rows = self.table("embeddings")
         built, middles = index.build(rows.where(strip_where(condition)) if condition else rows, cells=cells)
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        n = self.store.replace("index_embeddings", built.repartitionByRange(parts, "cell", "spec_id"), sort=["cell", "spec_id"]).count()
         listed = [(i, m.tolist()) for i, m in enumerate(middles)]
-        self.store.replace("index_embeddings_centroids", self.spark.createDataFrame(listed, "cell int, vec array<double>"))
+        with self.store.transaction():
+            n = self.store.replace("index_embeddings", built.repartitionByRange(parts, "cell", "spec_id"), sort=["cell", "spec_id"]).count()
+            self.store.replace("index_embeddings_centroids", self.spark.createDataFrame(listed, "cell int, vec array<double>"))
         return n
 
     def embedding_index(self, probes: int | None = None) -> index.VectorIndex:
@@ -295,8 +296,8 @@ class Library:
     def spectra_by_spec_ids(self, ids: Sequence[str]) -> DataFrame:
         return lookup.spectra_by_ids(self.table("spectra"), self._ask(ids))
 
-    def fragments_by_spec_ids(self, ids: Sequence[str]) -> DataFrame:
-        return lookup.fragments_by_ids(self.table("spectra"), self._ask(ids))
+    def fragments_by_spec_ids(self, ids: Sequence[str], single: bool = False) -> DataFrame:
+        return lookup.fragments_by_ids(self.table("spectra"), self._ask(ids), single)
 
     def metadata_by_spec_ids(self, ids: Sequence[str]) -> DataFrame:
         return lookup.metadata_by_ids(self.table("spectra"), self._ask(ids))
@@ -441,7 +442,8 @@ def create_library(
         rest = spectra if chosen.merge_unannotated else spectra.where("inchikey is null or trim(inchikey) = ''")
         names = ["pos", *SPECTRA.names]
         spectra = merged.select(*names) if chosen.merge_unannotated else merged.select(*names).unionByName(rest.select(*names))
-    library.counts = library.add_spectra(spectra) | library.map_compounds(create_missing)
+    with store.transaction():
+        library.counts = library.add_spectra(spectra) | library.map_compounds(create_missing)
     if load_generator:
         library.counts["fingerprints"] = library.compute_missing_fingerprints()
     if compound_file:

@@ -93,8 +93,8 @@ def _numeric(v: Views) -> Library:
 @query(f"""with {KNN}, r as (select *, row_number() over (partition by query_ix order by score desc, spec_id) as rank from k)
 select query_ix, cast(rank as integer) as rank, spec_id, round(score, 6) as score from r where rank <= 10""")
 def knn_by_spec_ids(v):
-    e = v("v_embeddings").withColumnRenamed("pos", "query_ix").select("query_ix", "vec")
-    return _round(_numeric(v).query_spectra_by_spectra(e.withColumnRenamed("query_ix", "pos"), 10), "score")
+    library = _shared(v, "vectors", lambda: _fresh(v, {"embeddings": v("v_embeddings").withColumn("d", F.size("vec"))}))
+    return _round(library.query_spectra_by_spectra(v("v_embeddings").select("pos", "vec"), 10), "score")
 
 
 @query(f"""with {KNN}, r as (select *, row_number() over (partition by query_ix order by score desc, spec_id) as rank from k),
@@ -369,14 +369,14 @@ def normalized_metadata(v):
     return made.select("pos", "precursor_mz", "ionmode", own.alias("name"))
 
 
-@query("""select comp_id, round(sum(ln(1 + value) * case when bit % 2 = 0 then 2.0 else 1.0 end), 3) as total from
+@query("""select comp_id, round(sum(ln(1 + value) * case when bit % 2 = 0 then 2.0 else 1.0 end), 1) as total from
 (select comp_id, bit % 64 as bit, sum(value) as value from v_fp group by 1, 2) group by comp_id""")
 def fp_scaled_dense(v):
     folded = v("v_fp").groupBy("comp_id", (F.col("bit") % 64).alias("bit")).agg(F.sum("value").alias("value"))
     maps = folded.groupBy("comp_id").agg(F.map_from_entries(F.collect_list(F.struct("bit", "value"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)))
     made = maps.select("comp_id", fingerprints.scaled_dense(dense, "log", [2.0 if i % 2 == 0 else 1.0 for i in range(64)]).alias("x"))
-    return made.select("comp_id", F.round(vectors.total(F.col("x")), 3).alias("total"))
+    return made.select("comp_id", F.round(vectors.total(F.col("x")), 1).alias("total"))
 
 
 @query("select spec_id, cast(len(vec) as integer) as d from v_embeddings")

@@ -15,6 +15,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from copy import deepcopy
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +47,7 @@ def _manifests(spark: SparkSession, folder: str) -> list[int]:
 class TableStore:
     def __init__(self, spark: SparkSession, folder: str, manifest: dict, number: int = 0):
         self.spark, self.folder, self.manifest, self.number = spark, folder.rstrip("/"), manifest, number
+        self._open = False
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, **extra) -> TableStore:
@@ -66,7 +70,23 @@ class TableStore:
     def _path(folder: str, number: int) -> str:
         return f"{folder.rstrip('/')}/manifest-{number:09d}.json"
 
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Changes of several tables that appear together, or not at all if the block fails."""
+        before, outer = deepcopy(self.manifest), self._open
+        self._open = True
+        try:
+            yield
+        except BaseException:
+            self.manifest = before
+            raise
+        finally:
+            self._open = outer
+        self._save()
+
     def _save(self) -> None:
+        if self._open:
+            return
         if not create_text(self.spark, self._path(self.folder, self.number + 1), json.dumps(self.manifest, indent=1, sort_keys=True)):
             raise RuntimeError(f"another writer has changed {self.folder}; load it again")
         self.number += 1

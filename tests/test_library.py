@@ -227,6 +227,8 @@ def test_writers_and_indexes(spark, library):
     library.upsert_compound(inchikey="EEEEEEEEEEEEEE-Y", smiles=None, fp_bits=[])
     row = library.fingerprints_by_ids(["E" * 14, "none"]).collect()
     assert row[0].fp_bits == [1, 4294967295] and row[1].fp_bits is None and library.compound("E" * 14)["smiles"] == "CO"
+    some = library.table("spectra").first()
+    assert library.fragments_by_spec_ids([some.spec_id], single=True).schema["peaks"].dataType.elementType["mz"].dataType.simpleString() == "float"
     assert [r.comp_id for r in library.compounds_by_ids(["E" * 14, KEYS[0][:14], "E" * 14, "none"]).collect()] == [KEYS[0][:14], "E" * 14]
     library.link_many([("a", "E" * 14), ("a", "F" * 14)])
     assert [r.comp_id for r in library.all_mappings().where("spec_id = 'a'").collect()] == ["F" * 14]
@@ -274,6 +276,15 @@ def test_manifest_is_replaced_in_one_step(spark, tmp_path):
         one.change("spec_to_comp", spark.createDataFrame([("a", chr(65 + i) * 14)], "spec_id string, comp_id string"))
     assert len(one.manifest["deltas"]["spec_to_comp"]) == 1
     assert one.vacuum() > 0 and one.vacuum() == 0
+    with pytest.raises(KeyError), one.transaction():
+        one.replace("spec_to_comp", new)
+        one.read("nothing")
+    assert one.read("spec_to_comp").count() == TableStore.load(spark, folder).read("spec_to_comp").count() == 2
+    at = one.number
+    with one.transaction():
+        one.append("embeddings", spark.createDataFrame([("a", 1, [1.0])], "spec_id string, d int, vec array<float>"))
+        one.append("embeddings", spark.createDataFrame([("b", 1, [2.0])], "spec_id string, d int, vec array<float>"))
+    assert one.number == at + 1 and TableStore.load(spark, folder).read("embeddings").count() == 2
     assert {r.spec_id: r.comp_id for r in TableStore.load(spark, folder).read("spec_to_comp").collect()} == {"a": "I" * 14, "b": "B" * 14}
 
 
