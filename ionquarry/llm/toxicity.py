@@ -6,9 +6,10 @@ Each coordinate has its own learning rate, and the L1 term keeps weights at zero
 until their gradients have summed to more than ``l1``, so the model is a short
 list of weights that is broadcast to score every whole text.
 
-The fit streams over at most ``MOST_LABELLED`` labelled rows, of which at most
+The fit streams, pass after pass, over at most ``MOST_LABELLED`` labelled rows, of which at most
 ``MOST_POSITIVE`` are positive: the first ones by a hash of doc_id, so the
-sample does not depend on how the rows lie.  The last fifth of the sample isn't
+sample does not depend on how the rows lie.  It holds the coordinates and one batch of rows,
+whatever the length of the texts.  The last fifth of the sample isn't
 learnt from: the bias is shifted so that a score of 0.5 costs least there, an
 error on a negative counting ``FALSE_ALARM`` times one on a positive.  Labels are all that is learnt from; doc_id only
 chooses the folds, and lang and source are not read.
@@ -29,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import WordIds, bounded_batches, slices, trimmed, written
+from ._common import WordIds, slices, trimmed, written
 
 DIMENSIONS = 1 << 20
 MOST_LABELLED, MOST_POSITIVE = 16_000, 6_000
@@ -58,7 +60,7 @@ class Features:
 class Ftrl:
     """Per-coordinate FTRL-proximal with L1 and L2, one example after the other."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, alpha: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
+    def __init__(self, dimensions: int = DIMENSIONS, alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(dimensions), np.zeros(dimensions)
         self.bias_z = self.bias_n = 0.0
@@ -80,8 +82,11 @@ class Ftrl:
         self.bias_z += g - ((self.bias_n + g * g) ** 0.5 - self.bias_n**0.5) / self.alpha * b
         self.bias_n += g * g
 
+    def dense(self) -> np.ndarray:
+        return self._weights(self.z, self.n)
+
     def sparse(self) -> tuple[np.ndarray, np.ndarray]:
-        w = self._weights(self.z, self.n)
+        w = self.dense()
         at = np.flatnonzero(w)
         return at, w[at]
 
@@ -117,7 +122,6 @@ def fit(
     most: int = MOST_LABELLED, most_positive: int = MOST_POSITIVE, epochs: int = EPOCHS, **settings: float,
 ) -> Model:
     """Learn from the rows of ``labels`` given here; hold rows out by leaving them out."""
-    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{label}`").cast("int").alias("y"))
     known = known.where("k is not null and y in (0, 1)")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -140,45 +144,61 @@ def fit(
 
     sets = found.mapInArrow(trimmed(extract), "k long, y int, spot double, at binary")
     sets = written(sets.orderBy("spot", "k", "y").limit(most), "labelled")
+    n = sets.count()
+    spared = n // 5
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(s, k, y, a) for b in batches for k, y, s, a in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
-        rows.sort()
-        spared = len(rows) // 5
-        model = Ftrl(**settings)
-        for _ in range(epochs):
-            for _, _, y, at in rows[: len(rows) - spared]:
-                model.learn(np.frombuffer(at, dtype="<u4").astype(np.int64), y)
+        """Rows come once for each pass, and once more, those that were spared, for the bias."""
+        model, sums, truth, dense = Ftrl(**settings), [], [], None
+        for b in batches:
+            for turn, place, y, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                at = np.frombuffer(at, dtype="<u4").astype(np.int64)
+                if turn < epochs:
+                    model.learn(at, y)
+                    continue
+                if dense is None:
+                    dense = model.dense()
+                sums.append(model.bias + dense[at].sum())
+                truth.append(y)
         at, w = model.sparse()
-        dense = np.zeros(DIMENSIONS)
-        dense[at] = w
-        rest = rows[len(rows) - spared :]
-        sums = np.array([model.bias + dense[np.frombuffer(a, dtype="<u4")].sum() for *_, a in rest])
-        bias = model.bias - threshold(sums, np.array([y for _, _, y, _ in rest]))
+        bias = model.bias - threshold(np.array(sums), np.array(truth))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([bias, *w.tolist()])], names=["at", "w"])
 
     # One task learns: its rows are bounded by ``most``.
-    learnt = sets.coalesce(1).mapInArrow(trimmed(train), "at long, w double").toArrow().to_pandas()
+    order = Window.orderBy("spot", "k", "y", "at")  # of at most ``most`` rows
+    placed = sets.withColumn("place", F.row_number().over(order)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(epochs))))
+    placed = placed.where((F.col("turn") < epochs) == (F.col("place") <= n - spared)).select("turn", "place", "y", "at")
+    sets = placed.repartition(1).sortWithinPartitions("turn", "place")
+    learnt = sets.mapInArrow(trimmed(train), "at long, w double").toArrow().to_pandas()
     at, w = learnt["at"].to_numpy(), learnt["w"].to_numpy()
     first = at == -1
     return Model(float(w[first].sum()), at[~first], w[~first])
 
 
+class Scorer:
+    """The weighted sum of a text's features."""
+
+    def __init__(self, model: Model):
+        self.bias, self.features, self.dense = model.bias, Features(model.dimensions), np.zeros(model.dimensions)
+        self.dense[model.at] = model.weights
+        self.used = self.dense != 0
+
+    def sums(self, texts: list[str | None]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for i, t in enumerate(texts):
+            at = self.features.of(t)
+            out[i] = self.bias + self.dense[np.unique(at[self.used[at]])].sum()
+        return out
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score, predicted): a row per row of ``docs``."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most DIMENSIONS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, features = shared.value, Features()
-        dense = np.zeros(m.dimensions, dtype=np.float64)
-        dense[m.at] = m.weights
-        used = dense != 0
+        scorer = Scorer(shared.value)
         for b in (s for batch in batches for s in slices(batch, 1)):
-            out = np.empty(b.num_rows)
-            for i, t in enumerate(b.column(1).to_pylist()):
-                at = features.of(t)
-                out[i] = m.bias + dense[np.unique(at[used[at]])].sum()
-            scores = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+            scores = 1 / (1 + np.exp(-np.clip(scorer.sums(b.column(1).to_pylist()), -35, 35)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
@@ -190,20 +210,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 def clean(docs: DataFrame, model: Model, reject: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``reject`` or more; each row is judged where it lies."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    bounded_batches(docs.sparkSession)
     at_column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, features = shared.value, Features()
-        dense = np.zeros(m.dimensions, dtype=np.float64)
-        dense[m.at] = m.weights
-        used = dense != 0
-        limit = np.log(reject / (1 - reject))
+        scorer, limit = Scorer(shared.value), np.log(reject / (1 - reject))
         for b in (s for batch in batches for s in slices(batch, at_column)):
-            sums = []
-            for t in b.column(at_column).to_pylist():
-                at = features.of(t)
-                sums.append(m.bias + dense[np.unique(at[used[at]])].sum())
-            yield b.filter(pa.array(np.array(sums) < limit))
+            yield b.filter(pa.array(scorer.sums(b.column(at_column).to_pylist()) < limit))
 
     return docs.mapInArrow(trimmed(run), docs.schema)
