@@ -9,12 +9,13 @@ predicted; the score is that cosine (0 to 1).
 
 Document frequencies are counted over all training texts.  The centroids are
 fitted to at most ``MOST_PER_LANGUAGE`` texts of a language in the mean, those
-with the smallest hash of doc_id.
+with the smallest hash of doc_id, each language in a task of its own.
 
-A text without letters has no vector; its distance to every centroid is 1 and it
-is rejected as ``und``.  ``reject`` can be lowered to reject texts in languages
-that were not learnt; at its default, 1, a text with a letter always gets a
-learnt language.
+A text is ``rejected`` if it is farther from its centroid than the fitted texts
+of that language are, ``BEYOND`` times the distance that all but ``OUTLIERS`` of
+them keep, or if it has no letters and so no vector.  The name of the nearest language stays
+beside that; only a text without letters is ``und``, and one beyond the
+distance ``reject``, which can be lowered from its default, 1.
 
 Defined cases: null and letterless texts give ``und`` and score 0; rows with a
 null language are not learnt from; ties go to the smaller language name; other
@@ -28,16 +29,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, discard, slices, trimmed, written
+from ._common import discard, slices, trimmed, written
 
 DIMENSIONS = 8192
 CENTROIDS, ROUNDS = 4, 8
 MOST_PER_LANGUAGE = 600
+BEYOND, OUTLIERS = 1.1, 0.01
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _MIX = np.uint32(0x9E3779B1)
@@ -67,6 +70,7 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     reject: float = 1.0
+    farthest: np.ndarray | None = None  # of each centroid's language, beyond which a text is rejected
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         x = np.stack([damped(counts(t)) for t in texts]) * self.idf
@@ -95,7 +99,6 @@ def fit(
     centroids: int = CENTROIDS, most: int = MOST_PER_LANGUAGE, reject: float = 1.0,
 ) -> Model:
     """Learn from the rows given: their text and language."""
-    bounded_batches(training.sparkSession)
     rows = training.select(
         F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")
     ).where("lang is not null and text is not null")
@@ -132,21 +135,26 @@ def fit(
     for r in made.where("d >= 0").groupBy("d").agg(F.sum("df").alias("df")).collect():  # one row a dimension
         df[r["d"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
-    chosen = made.where("d = -1").select("lang", "k", "x").toArrow().to_pandas()  # bounded by ``most`` for each language
+    shared = training.sparkSession.sparkContext.broadcast(idf)
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A language's centroids; its texts are bounded by ``most``."""
+        own = sorted(zip(pdf["k"].fillna(-1), map(bytes, pdf["x"]), strict=True))
+        x = np.stack([np.frombuffer(v, dtype="<f2").astype(np.float32) for _, v in own]) * shared.value
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = _spherical(x, centroids)
+        far = BEYOND * float(np.quantile(1 - np.clip((x @ c.T).max(axis=1), 0, 1), 1 - OUTLIERS))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "i": range(len(c)), "far": far, "c": [v.astype("<f4").tobytes() for v in c]})
+
+    found = made.where("d = -1").select("lang", "k", "x").groupBy("lang").applyInPandas(cluster, "lang string, i int, far double, c binary")
+    found = found.orderBy("lang", "i").collect()  # ``centroids`` rows a language
     discard(made)
-    names, cs = [], []
-    for name in sorted(chosen["lang"].unique()):
-        own = sorted(zip(chosen["k"][chosen["lang"] == name].fillna(-1), map(bytes, chosen["x"][chosen["lang"] == name]), strict=True))
-        x = np.stack([np.frombuffer(v, dtype="<f2").astype(np.float32) for _, v in own]) * idf
-        c = _spherical(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), centroids)
-        names += [name] * len(c)
-        cs.append(c)
-    return Model(names, np.concatenate(cs) if cs else np.zeros((0, DIMENSIONS), np.float32), idf, reject)
+    middles = np.stack([np.frombuffer(r["c"], dtype="<f4") for r in found]) if found else np.zeros((0, DIMENSIONS), np.float32)
+    return Model([r["lang"] for r in found], middles, idf, reject, np.array([r["far"] for r in found]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score, rejected): a row per row of ``docs``."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages * CENTROIDS * DIMENSIONS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +163,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 texts = part.column(1).to_pylist()
-                names, scores = ["und"] * len(texts), np.zeros(len(texts))
+                names, scores, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
                 some = [i for i, t in enumerate(texts) if has_letter(t)] if m.languages else []
                 if some:
                     cos = np.clip(m.vectors([texts[i] for i in some]) @ m.centroids.T, 0, 1)
                     best = np.argmax(cos, axis=1)
                     for i, j, c in zip(some, best.tolist(), cos[np.arange(len(some)), best].tolist(), strict=True):
                         if 1 - c <= m.reject:
-                            names[i], scores[i] = m.languages[j], c
+                            names[i], scores[i], rejected[i] = m.languages[j], c, m.farthest is not None and 1 - c > m.farthest[j]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names), pa.array(scores), pa.array([n == "und" for n in names])],
+                    [part.column(0), pa.array(names), pa.array(scores), pa.array(rejected)],
                     names=["doc_id", "lang_pred", "score", "rejected"],
                 )
 
