@@ -13,7 +13,9 @@ one sequence in the whole result ends short of a gap of ``FILL`` ids or more.
 
 Ranks need no shuffle: a task counts lengths as it writes its pieces to shared
 storage, which freezes them, and a table of counts by task and length gives
-each task's first rank.
+each task's first ranks.  That table is as long as there are tasks times lengths, so it is
+neither broadcast nor joined: it is written in files of ``GROUPED`` tasks each, and
+whoever places a task's pieces reads that task's file.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
 packed each for itself; ``doc_id`` may be null; other columns are ignored; an
@@ -34,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bounded_batches, release_shuffles, slices, trimmed, written
+from ._common import open_fs, release_shuffles, scratch, shuffle_parts, slices, trimmed, written
 from .tokens import TOKENIZER, encoder
 
 SEQUENCE, END_ID = 2048, 1
 #: Gaps from this many ids are filled by cutting.
 FILL = 16
+#: Tasks whose first ranks share a file.
+GROUPED = 64
 
 
 class Plan:
@@ -196,40 +200,51 @@ def pack(
 ) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): a row per piece; ``ids`` is a string of 32-bit integers."""
     spark = docs.sparkSession
-    bounded_batches(docs.sparkSession)
     cut = written(_cut(docs, tokenizer, end_id, sequence, text, doc_id), "cut")
     release_shuffles(spark)
     by_part = cut.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n_ids") / sequence)).alias("full"))
     by_part = written(by_part, "lengths")
     counts = {r["rest"]: r["n"] for r in by_part.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    full = by_part.agg(F.sum("full")).first()[0] or 0
+    all_full = by_part.agg(F.sum("full")).first()[0] or 0
     plan = spark.sparkContext.broadcast(Plan(counts, sequence, fill))  # as large as the histogram
 
     before = lambda *keys: Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_part.withColumn("first", F.coalesce(F.sum("n").over(before("rest")), F.lit(0)))
-    ranks = ranks.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("rest", "first"))).alias("firsts"))
+    ranks = ranks.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("rest", "first"))).alias("f"))
     fulls = by_part.groupBy("part").agg(F.sum("full").alias("full")).withColumn("slot", F.lit(0))
     fulls = fulls.select("part", F.coalesce(F.sum("full").over(before("slot")), F.lit(0)).alias("full_first"))  # a row a task
-    parts = ranks.join(fulls, "part")
+    parts = ranks.join(fulls, "part").select("part", F.col("f.rest").alias("rests"), F.col("f.first").alias("firsts"), "full_first", F.floor(F.col("part") / GROUPED).cast("int").alias("grouped"))
+    folder = f"{scratch(spark, 'ranks')}/by-task"
+    parts.repartition(shuffle_parts(spark), "grouped").write.partitionBy("grouped").parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = plan.value
-        for b in (part for batch in batches for part in slices(batch, 1)):
+        where, held = plan.value, {}
+        for b in (part for batch in batches for part in slices(batch, 2)):
             out = []
-            for doc_id, ids, width, n, rest, rank, before in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for part, doc_id, ids, width, n, rest, rank, before in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if part not in held:
+                    held = {part: _first_ranks(folder, part)}
+                rests, firsts, full = held[part]
+                rank, before = rank + int(firsts[np.searchsorted(rests, rest)]), before + full
                 ids = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")
                 whole = n // sequence
                 got = [(k * sequence, sequence, before + k, 0) for k in range(whole)]
                 if rest:
-                    got += [(whole * sequence + s, m, full + q, o) for s, m, q, o in where.pieces(rest, rank)]
+                    got += [(whole * sequence + s, m, all_full + q, o) for s, m, q, o in where.pieces(rest, rank)]
                 out += [(doc_id, s, m, n, q, o, ids[s : s + m].tobytes()) for s, m, q, o in got]
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=names)
 
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    placed = cut.join(parts, "part").select(
-        "doc_id", "ids", "width", "n_ids", "rest",
-        (F.col("rank") + F.col("firsts")[F.col("rest")]).alias("rank"), (F.col("full_before") + F.col("full_first")).alias("before"),
-    )
-    return placed.mapInArrow(trimmed(run), ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
+    columns = ["part", "doc_id", "ids", "width", "n_ids", "rest", "rank", "full_before"]
+    return cut.select(*columns).mapInArrow(trimmed(run), ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
+
+
+def _first_ranks(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A task's lengths in order, the first rank of each, and the full sequences before it."""
+    import pyarrow.dataset as ds
+
+    fs, path = open_fs(f"{folder}/grouped={part // GROUPED}")
+    row = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["rests", "firsts", "full_first"], filter=ds.field("part") == part)
+    return np.array(row["rests"][0].as_py()), np.array(row["firsts"][0].as_py()), row["full_first"][0].as_py()
