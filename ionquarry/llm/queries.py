@@ -31,9 +31,8 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = warc.archive(table(spark, sf_dir, "pages"))
-    files = warc.write(store)
-    store.drop()
+    with warc.archive(table(spark, sf_dir, "pages")) as store:
+        files = warc.write(store)
     records = warc.resolved(warc.read(files))
     return records.select(
         "page_id", F.col("size").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import open_fs, release_shuffles, scratch, shuffle_parts, trimmed, written
+from ..operators.joins import joined_back
 
 LEAST = 1000
 #: The date that goes into records; pages carry none.
@@ -95,6 +96,12 @@ class Archive:
         """Take the table out of the catalog, once nothing reads the archive any more; its files go with the scratch folder."""
         self.records.sparkSession.sql(f"drop table if exists {self.name}")
 
+    def __enter__(self) -> Archive:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
 
 def archive(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url: str = "url", html: str = "html") -> Archive:
     spark = pages.sparkSession
@@ -107,7 +114,7 @@ def archive(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url:
     keys = written(rows.select("page_id", "url", "sha256", "sha1", "size").withColumn("row", F.monotonically_increasing_id()), "pages")
     order = F.struct(F.coalesce("page_id", F.lit(LOW)).alias("p"), F.col("row").alias("row"))
     first = keys.where(F.col("size") >= least).groupBy("sha256").agg(F.max(order).alias("first"))
-    told = keys.join(first, "sha256", "left")
+    told = joined_back(keys, first, "sha256", "left")
     # The id of a record: from its page, its payload and, among repeated rows, its number.
     uuid = lambda page, row: F.regexp_replace(
         F.left(F.sha2(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("")), F.col("sha256"), row.cast("string")), 256), F.lit(32)),
@@ -178,7 +185,7 @@ def write(store: Archive, uri: str | None = None) -> DataFrame:
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record of a WARC file, gzipped by record or not."""
-    held, source = b"", _plain(stream)
+    held, source = bytearray(), _plain(stream)
 
     def upto(n: int) -> bool:
         nonlocal held
@@ -190,7 +197,9 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         return True
 
     while True:
-        while (end := held.find(b"\r\n\r\n")) < 0:
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
             if not upto(len(held) + 1):
                 if held.strip():
                     raise ValueError("truncated WARC header")
@@ -202,12 +211,15 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         size = int(fields["content-length"])
         if not upto(end + 4 + size + 4):
             raise ValueError("truncated WARC block")
-        yield fields, held[end + 4 : end + 4 + size]
-        held = held[end + 4 + size + 4 :]
+        yield fields, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size + 4]  # moves the start, not the bytes
 
 
-def _plain(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file, its gzip members decompressed one after the other."""
+def _plain(stream, chunk: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a file, its gzip members decompressed one after the other.
+
+    What is left of a chunk is copied for each member, so chunks are small.
+    """
     data = stream.read(chunk)
     if data[:2] != b"\x1f\x8b":
         while data:
