@@ -4,13 +4,15 @@ A data set is a folder of shards.  ``shard-*.arrow`` is an Arrow IPC file (the
 stream format between a magic string and a footer that lists the batches) with
 
     input_ids       fixed_size_list<uint16 or uint32>[sequence]
-    attention_mask  fixed_size_list<bool>[sequence]
+    attention_mask  fixed_size_list<bool>[sequence], bits in the file
 
 in batches of ``BATCH`` sequences, so sequence i is row i % BATCH of batch
-i // BATCH and can be used straight from the mapped file, without a copy.
+i // BATCH and its ids can be used straight from the mapped file, without a copy.
+Only a shard's last sequence is padded, so every mask is ones and then zeros: a
+reader gives it, a byte a token, as a view of one such ramp, without a copy either.
 ``shard-*.docs.arrow`` lists the shard's documents: doc_id, start in the shard's
 ids, n_tokens.  Ids run on without a gap from document to document; only a
-shard's last sequence is padded (mask false).
+shard's last sequence is padded (mask 0).
 
 Documents are range-partitioned by doc_id, so shards are in ascending order and
 a document's place in the whole is its shard's first place plus its start.  A
@@ -31,14 +33,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bounded_batches, open_fs, scratch, shuffle_parts, slices, trimmed, written
+from ._common import open_fs, scratch, shuffle_parts, slices, trimmed, written
 from .tokens import TOKENIZER, encoder
 
 SEQUENCE, BATCH, END_ID = 2048, 256, 0
+#: Documents that are listed at once.
+DOCS = 8192
 MANIFEST = "shard int, path string, docs_path string, n_sequences long, n_tokens long, n_docs long"
 
 
@@ -54,12 +59,17 @@ class ShardWriter:
         self.sink = self.fs.open_output_stream(f"{folder}/{name}.arrow")
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.waiting, self.held = [], 0
-        self.docs: list[tuple] = []
-        self.n_tokens = self.n_sequences = 0
+        self.docs: list[tuple] = []  # not yet written
+        self.docs_schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens")])
+        self.docs_sink = self.fs.open_output_stream(f"{folder}/{name}.docs.arrow")
+        self.docs_file = pa.ipc.new_file(self.docs_sink, self.docs_schema)
+        self.n_tokens = self.n_sequences = self.n_docs = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         count = len(ids) // self.dtype.itemsize
         self.docs.append((doc_id, self.n_tokens, count))
+        if len(self.docs) == DOCS:
+            self._list()
         self.n_tokens += count
         self.waiting.append(ids)
         self.held += count
@@ -82,18 +92,20 @@ class ShardWriter:
         self.waiting = [flat[full:].tobytes()]
         self.held = len(flat) - full
 
+    def _list(self) -> None:
+        """Write the list of documents so far."""
+        self.docs_file.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*self.docs, strict=True)], schema=self.docs_schema))
+        self.n_docs += len(self.docs)
+        self.docs = []
+
     def close(self) -> tuple:
         self._flush(True)
-        self.file.close()
-        self.sink.close()
-        docs = pa.table(
-            {n: pa.array([d[i] for d in self.docs], pa.int64()) for i, n in enumerate(("doc_id", "start", "n_tokens"))}
-        )
-        path = f"{self.folder}/{self.name}.docs.arrow"
-        with self.fs.open_output_stream(path) as sink, pa.ipc.new_file(sink, docs.schema) as file:
-            file.write_table(docs)
+        if self.docs:
+            self._list()
+        for end in (self.file, self.sink, self.docs_file, self.docs_sink):
+            end.close()
         base = f"{self.uri}/{self.name}"
-        return f"{base}.arrow", f"{base}.docs.arrow", self.n_sequences, self.n_tokens, len(self.docs)
+        return f"{base}.arrow", f"{base}.docs.arrow", self.n_sequences, self.n_tokens, self.n_docs
 
 
 class Shard:
@@ -106,24 +118,29 @@ class Shard:
         self.sequence = self.file.schema.field("input_ids").type.list_size
         self.batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
         self._at, self._now = -1, None
+        # Of the last sequence, how many ids; of all before, every one.
+        last = self.file.num_record_batches - 1
+        self.n_tokens = last * self.sequence * self.batch + (pc.sum(self.file.get_batch(last).column("attention_mask").flatten()).as_py() if last >= 0 else 0)
+        self.ramp = np.repeat(np.array([1, 0], dtype=np.uint8), self.sequence)
+        self.ramp.flags.writeable = False
 
-    def _column(self, i: int, name: str) -> np.ndarray:
+    def _ids(self, i: int) -> np.ndarray:
         if i != self._at:
             self._at, self._now = i, self.file.get_batch(i)
-        col = self._now.column(name).flatten()
-        return col.to_numpy(zero_copy_only=not pa.types.is_boolean(col.type))
+        return self._now.column("input_ids").flatten().to_numpy(zero_copy_only=True)
 
     def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i; the ids are a view of the file."""
+        """(ids, mask) of sequence i: views of the file and of the ramp."""
         part = slice((i % self.batch) * self.sequence, (i % self.batch + 1) * self.sequence)
-        return self._column(i // self.batch, "input_ids")[part], self._column(i // self.batch, "attention_mask")[part]
+        padded = max(0, (i + 1) * self.sequence - self.n_tokens)
+        return self._ids(i // self.batch)[part], self.ramp[padded : padded + self.sequence]
 
     def ids(self, start: int, count: int) -> np.ndarray:
         block = self.sequence * self.batch
         parts = []
         while count > 0:
             i, at = divmod(start, block)
-            part = self._column(i, "input_ids")[at : at + count]
+            part = self._ids(i)[at : at + count]
             parts.append(part)
             start, count = start + len(part), count - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.empty(0, np.uint16)])
@@ -142,7 +159,6 @@ def write(
     text: str = "text", doc_id: str = "doc_id",
 ) -> Dataset:
     spark = docs.sparkSession
-    bounded_batches(docs.sparkSession)
     uri = uri or scratch(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +197,9 @@ def read(data: Dataset) -> DataFrame:
                 shard = Shard(path)
                 fs, at = open_fs(docs_path)
                 with fs.open_input_file(at) as source:
-                    listed = pa.ipc.open_file(source).read_all()
-                for part in listed.to_batches(max_chunksize=512):
+                    listed = pa.ipc.open_file(source)
+                    parts = [b for i in range(listed.num_record_batches) for b in pa.Table.from_batches([listed.get_batch(i)]).to_batches(max_chunksize=512)]
+                for part in parts:
                     starts, counts = part.column(1).to_numpy(), part.column(2).to_numpy()
                     ids = [shard.ids(s, n).astype("<u4").tobytes() for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(

@@ -5,11 +5,13 @@ more white space comes before and after it, and byte-level BPE never merges
 across pre-tokens.  So a text is cut in front of its spaces, the distinct parts
 of a batch are found by Arrow, only those not met lately are encoded, and the
 ids of the texts are gathered from theirs.  A text with a space inside a run of
-white space is encoded whole.
+white space is encoded whole, and so is every text where a vocabulary splits
+in another way or normalises texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 from operator import methodcaller
@@ -82,6 +84,11 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.width, self.bound = self.dtype.itemsize, bound
         self.memo = Memo(self.dtype)
+        made = json.loads(self.library.to_str())
+        split = made.get("pre_tokenizer") or {}
+        plain = made.get("normalizer") is None and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in made.get("added_tokens", []))
+        #: Whether texts may be cut in front of spaces.
+        self.cuts = plain and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -110,6 +117,8 @@ class Encoder:
         column = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
         if not len(column):
             return []
+        if not self.cuts:
+            return self._whole(column.to_pylist())
         odd = pc.match_substring_regex(column, _INSIDE)
         split = pc.split_pattern(pc.if_else(odd, "", column), " ")
         words = split.flatten().dictionary_encode()
