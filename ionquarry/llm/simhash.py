@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from ._common import bounded_batches, release_shuffles, shuffle_parts, slices, trimmed, written
+from ._common import release_shuffles, shuffle_parts, slices, trimmed, written
 from ..operators.components import components
+from ..operators.joins import joined_back
 
 SEED = 42
 #: Generator polynomial of the binary Golay code and its parameters (fixed values).
@@ -92,7 +93,6 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: st
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(trimmed(run), "doc_id long, fp long")
 
@@ -153,9 +153,12 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     dealt = written(nodes.mapInArrow(trimmed(replicate), "anchor int, fp long, home boolean"), "anchors")
     crowded = written(dealt.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "crowded")
     near = lambda p: p.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
-    calm = dealt.join(crowded, "anchor", "left_anti")
+    none = crowded.isEmpty()
+    calm = dealt if none else dealt.join(crowded, "anchor", "left_anti")
     homes = calm.where("home").select("anchor", F.col("fp").alias("a"))
     pairs = near(homes.join(calm.select("anchor", F.col("fp").alias("b")), "anchor"))
+    if none:
+        return pairs
     # At a crowded anchor every word of 64 bits is an anchor (covering radius 0): two fingerprints within 2 bits
     # share a word within 1 bit of both, and no word has more than 65 of them.
     some = dealt.join(crowded, "anchor", "left_semi").select("fp").distinct()
@@ -181,7 +184,7 @@ def classes(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "
     lows = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     labelled = lows.join(_roots(prints), "fp")
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = labelled.join(lowest, "root").select("fp", "component_id")
+    named = joined_back(labelled, lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -192,15 +195,16 @@ def near_dedup(docs: DataFrame, words: int = 5, text: str = "text", doc_id: str
     sets of shingles have a Jaccard similarity of 0.8 or more.
     """
     own = lambda t: shingles(t, words)
-    frozen = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    texts = frozen.select(F.col("__row").alias("row"), F.col(f"`{text}`").alias("text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    frozen = written(docs.select(F.monotonically_increasing_id().alias("row"), whole), "near-rows")
+    texts = frozen.select("row", F.col("doc")[text].alias("text"))
     prints = written(jaccard.sketches(texts, own, vote), "sketches")
     # The fingerprint's links, said of sets of shingles: each set with the first of its fingerprint's component.
     pairs = prints.select("fp", "node").distinct().join(_roots(prints), "fp").select("root", "node")
-    stars = pairs.join(pairs.groupBy("root").agg(F.min("node").alias("low")), "root").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    stars = joined_back(pairs, pairs.groupBy("root").agg(F.min("node").alias("low")), "root").select(F.col("node").alias("u"), F.col("low").alias("v"))
     roots = jaccard.linked(prints, texts, written(stars.where("u <> v"), "simhash-edges"), own)
-    idents = frozen.select(F.col("__row").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"))
-    rows = written(prints.select("row", "node").join(roots, "node").join(idents, "row"), "near-labels")
+    idents = frozen.select("row", F.col("doc")[doc_id].cast("long").alias("id"))
+    rows = written(joined_back(prints.select("row", "node"), roots, "node").join(idents, "row"), "near-labels")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row"))["row"].alias("keep"))
-    lost = rows.join(best, "root").where("row <> keep").select(F.col("row").alias("__row"))
-    return frozen.join(lost, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    lost = joined_back(rows, best, "root").where("row <> keep").select("row")
+    return frozen.join(lost, "row", "left_anti").select("doc.*")
