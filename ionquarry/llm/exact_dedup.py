@@ -1,10 +1,10 @@
 """Exact deduplication by content sort, with DataFrame functions only.
 
-The normalised text is ordered by (head, digest, text, doc_id): ``head`` is its
+The normalised text is ordered by (head, digest, text): ``head`` is its
 first 64 characters, ``digest`` its SHA-256.  Splitters drawn from a sample of
-(head, digest, doc_id) cut that order into buckets, so each has about as many
+(head, digest, place in the input) cut that order into buckets, so each has about as many
 rows and a group of copies that holds a third of the corpus is cut across many
-buckets by doc_id.  One shuffle moves each row to its bucket, the external sort
+buckets by place, whatever its doc_ids.  One shuffle moves each row to its bucket, the external sort
 of the window puts equal texts side by side, and every row is compared in full
 with its neighbour.  Runs that touch a bucket's edge are joined with those of
 the adjacent buckets through a table of two rows per bucket.
@@ -43,11 +43,12 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _splitters(keys: DataFrame, buckets: int, rows: int) -> list[tuple]:
-    """At most ``buckets - 1`` keys in order, from a sample of bounded size."""
-    want = buckets * SAMPLED
-    got = keys if rows <= want else keys.sample(min(1.0, 1.1 * want / rows), seed=17)
-    got = sorted(got.limit(2 * want).toLocalIterator(), key=lambda r: (r[0].encode(), r[1], r[2]))
+def _splitters(placed: DataFrame, text: Column, buckets: int, rows: int) -> list[tuple]:
+    """At most ``buckets - 1`` keys in order, from a sample of bounded size, drawn before any text is looked at."""
+    want, norm = buckets * SAMPLED, normalised(text)
+    some = placed if rows <= want else placed.sample(min(1.0, 1.1 * want / rows), seed=17)
+    some = some.limit(2 * want).select(F.left(norm, F.lit(HEAD)), F.sha2(norm, 256), "__place")
+    got = sorted(some.toLocalIterator(), key=lambda r: (r[0].encode(), r[1], r[2]))
     step = max(1, len(got) / buckets)
     picked = [tuple(got[int(i * step)]) for i in range(1, buckets) if int(i * step) < len(got)]
     return list(dict.fromkeys(picked))
@@ -81,6 +82,7 @@ def _runs(docs: DataFrame, text: str, doc_id: str, carry: bool) -> DataFrame:
     """
     spark = docs.sparkSession
     ident, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    place = F.monotonically_increasing_id().alias("__place")
     norm = normalised(body)
     rows = docs.select(
         ident.alias("doc_id"),
@@ -88,12 +90,18 @@ def _runs(docs: DataFrame, text: str, doc_id: str, carry: bool) -> DataFrame:
         F.char_length(F.coalesce(body, F.lit(""))).cast("long").alias("points"),
         norm.alias("norm"),
         F.sha2(norm, 256).alias("sha"),
+        place,
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
     head, parts = F.left(F.col("norm"), F.lit(HEAD)), shuffle_parts(spark)
-    splitters = _splitters(rows.select(head, "sha", "ord"), min(BUCKETS * parts, MOST_BUCKETS), docs.count())
-    dealt = rows.withColumn("bucket", _bucket(head, F.col("sha"), F.col("ord"), splitters)).repartition(parts, "bucket")
-    line = Window.partitionBy("bucket").orderBy(head, "sha", "norm", F.desc("points"), "ord")
+    splitters = _splitters(docs.select(body.alias("text"), place), F.col("text"), min(BUCKETS * parts, MOST_BUCKETS), docs.count())
+    dealt = rows.withColumn("bucket", _bucket(head, F.col("sha"), F.col("__place"), splitters)).drop("__place")
+    if carry:  # a row brings its text along, so only one form of it is shuffled
+        again = normalised(F.col("row")[text])
+        dealt = dealt.drop("norm").repartition(parts, "bucket").withColumn("norm", again)
+    else:
+        dealt = dealt.repartition(parts, "bucket")
+    line = Window.partitionBy("bucket").orderBy(F.left(F.col("norm"), F.lit(HEAD)), "sha", "norm", F.desc("points"), "ord")
     return (
         dealt.withColumn("new", (~F.col("norm").eqNullSafe(F.lag("norm").over(line))).cast("int"))
         .withColumn("run", F.sum("new").over(line))
