@@ -234,9 +234,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     new = joined.where(copy | F.col("kept_text").isNotNull()).select(
         F.col("ord").alias("__ord"), F.hex("sha").alias("__sha"), F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("__kept")
     ).dropDuplicates(["__ord", "__sha"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST))
-    out = docs.withColumns({"__o": ident, "__s": F.hex(_sha(text))})
+    out = docs.select(whole, ident.alias("__o"), F.hex(_sha(text)).alias("__s"))
     out = out.join(new, (F.col("__o") == F.col("__ord")) & (F.col("__s") == F.col("__sha")), "left")
-    return out.select(*[
-        F.coalesce("__kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns
-    ])
+    return out.select(*[F.coalesce("__kept", F.col("doc")[c]).alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
