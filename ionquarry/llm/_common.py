@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, release_shuffles, scratch, written
 
-__all__ = ["WordIds", "bounded_batches", "discard", "numbered", "open_fs", "release_shuffles", "scratch", "shuffle_parts", "slices", "table", "trimmed", "written"]
+__all__ = ["WordIds", "discard", "numbered", "open_fs", "release_shuffles", "scratch", "shuffle_parts", "slices", "table", "trimmed", "written"]
 
 #: Text bytes that a worker takes up at once; Spark bounds the bytes of an Arrow batch (maxBytesPerBatch).
-BYTES, ROWS = 8 << 20, 2000
+BYTES = 8 << 20
 
 
 #: Parameters of the C library's mallopt (fixed values).
@@ -40,13 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of fewer rows than by default: whole texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ROWS:
-        spark.conf.set(key, str(ROWS))
-
-
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """A table of the rows with ``name``, numbers from 0 without gaps in the order of partitions and rows."""
     held = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
