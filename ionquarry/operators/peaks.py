@@ -74,6 +74,8 @@ def cosine_greedy(a: Column, b: Column, tol: float = 0.1, mz_power: float = 0.0,
 SCORERS = {"cosine_greedy": lambda a, b, **kw: cosine_greedy(a, b, **kw)["score"]}
 #: Spectra of a sub-block, and peaks that are looked up at once.
 SUB_BLOCK, AT_ONCE = 512, 1_000_000
+#: Digits to which scores are rounded before they are compared with a threshold, so that the order of a sum doesn't decide.
+DIGITS = 6
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,8 @@ def _greedy(pair: np.ndarray, i: np.ndarray, j: np.ndarray, product: np.ndarray,
     In the order of choice, a match that is the first of both of its peaks is
     chosen whatever comes before; those are taken, what they exclude goes, and so on.
     """
-    order = np.lexsort((j, i, -np.round(product, 12), pair))
+    product = np.round(product, 12)
+    order = np.lexsort((j, i, -product, pair))
     pair, i, j, product = pair[order], i[order], j[order], product[order]
     total = np.zeros(n)
     width = int(max(i.max(), j.max())) + 1 if len(i) else 1
@@ -161,7 +164,7 @@ def _block_pairs(own: DataFrame, tol: float, mz_power: float, intensity_power: f
         lists = t["mz"].chunk(0)
         flat = [t[c].chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("mz", "x")]
         for u, v, s in block_scores(np.cumsum(new), sub, i != j, np.diff(lists.offsets.to_numpy()), *flat, tol, mz_power, intensity_power):
-            some = np.flatnonzero(s >= least) if least is not None else np.arange(len(s))
+            some = np.flatnonzero(np.round(s, DIGITS) >= least) if least is not None else np.arange(len(s))
             a, b = t["a"].take(pa.array(u[some])), t["a"].take(pa.array(v[some]))
             out = pa.table([t["k"].take(pa.array(u[some])), a, b, pa.array(s[some])], names=["k", "a", "b", "score"])
             yield from out.filter(pc.not_equal(a, b)).combine_chunks().to_batches()
@@ -190,7 +193,7 @@ def pair_scores(
     spectra: DataFrame, keys: list[str], pos: str = "pos", scorer: str = "cosine_greedy", tol: float = 0.1, mz_power: float = 0.0, intensity_power: float = 1.0,
     least: float | None = None,
 ) -> DataFrame:
-    """(keys, a, b, score) of each pair of spectra with equal keys (nulls equal), a < b by position; with ``least``, of those that score as much."""
+    """(keys, a, b, score) of each pair of spectra with equal keys (nulls equal), a < b by position; with ``least``, of those that score as much when rounded to ``DIGITS``."""
     own = spectra.select(F.struct(*keys).alias("k") if keys else F.lit("").alias("k"), F.col(pos).alias("a"), F.col("peaks").alias("p"))
     own = own.withColumn("k", F.coalesce(F.to_json("k", {"ignoreNullFields": "false"}), F.lit(""))) if keys else own
     if scorer == "cosine_greedy":
@@ -198,4 +201,4 @@ def pair_scores(
     other = own.select("k", F.col("a").alias("b"), F.col("p").alias("q"))
     score = SCORERS[scorer](F.col("p"), F.col("q"), tol=tol, mz_power=mz_power, intensity_power=intensity_power)
     found = own.join(other, "k").where("a < b").select("k", "a", "b", score.alias("score"))
-    return found if least is None else found.where(F.col("score") >= least)
+    return found if least is None else found.where(F.round("score", DIGITS) >= least)
