@@ -71,8 +71,8 @@ def consensus_peaks(mz: np.ndarray, intensity: np.ndarray, spectrum: np.ndarray,
     return centres[stay], out / out.sum() if out.sum() > 0 else out
 
 
-def consensus(members: DataFrame, mz_tol: float = 0.01, min_frac: float = 0.25, cluster: str = "cluster_id", pos: str = "pos") -> DataFrame:
-    """(cluster_id, num_merged, peaks): a lone spectrum is sum-normalised, others are merged."""
+def consensus(members: DataFrame, mz_tol: float = 0.01, min_frac: float = 0.25, cluster: str = "cluster_id", pos: str = "pos", bin_lone: bool = False) -> DataFrame:
+    """(cluster_id, num_merged, peaks): others are merged, a lone spectrum is sum-normalised and, with ``bin_lone``, its peaks are binned too."""
     kind = members.schema[cluster].dataType.simpleString()
     own = members.select(F.col(cluster).alias("cluster_id"), F.col(pos).alias("pos"), F.coalesce(sum_normalized(F.col("peaks")), F.array().cast(PEAKS)).alias("peaks"))
     # A row per cluster, its peaks pooled: as long as its spectra.
@@ -94,7 +94,7 @@ def consensus(members: DataFrame, mz_tol: float = 0.01, min_frac: float = 0.25,
             out = []
             for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 got = mz[lo:hi], x[lo:hi]
-                out.append(consensus_peaks(*got, s[lo:hi], n[i], mz_tol, min_frac) if n[i] > 1 and hi > lo else got)
+                out.append(consensus_peaks(*got, s[lo:hi], n[i], mz_tol, min_frac) if (n[i] > 1 or bin_lone) and hi > lo else got)
             offsets = np.cumsum([0, *[len(o[0]) for o in out]]).astype(np.int32)
             both = [np.concatenate([o[j] for o in out]) if out else np.empty(0) for j in (0, 1)]
             peaks = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in both], ["mz", "intensity"]))
