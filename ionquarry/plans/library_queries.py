@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codecs, fingerprints, keys, tanimoto, vectors
+from ..functions import codecs, fingerprints, keys, vectors
 from ..operators import topk
 from ..schema import EMBEDDINGS, PEAKS, SPECTRA
 from ..settings import FingerprintSettings, MergeSettings
@@ -353,8 +353,7 @@ m as (select a.comp_id as a, b.comp_id as b, sum(least(a.value, b.value)) as low
 select x.comp_id as a, y.comp_id as b, round(coalesce(low, 0) / (x.l1 + y.l1 - coalesce(low, 0)), 6) as score from n x join n y on x.grp = y.grp and x.comp_id < y.comp_id left join m on m.a = x.comp_id and m.b = y.comp_id""")
 def tanimoto_sparse_rows(v):
     rows = topk.packed(v("v_fp"), "comp_id").join(v("v_groups").select("comp_id", "grp"), "comp_id")
-    pairs = rows.withColumnsRenamed({"comp_id": "a", "bits": "ba", "vals": "va"}).join(rows.withColumnsRenamed({"comp_id": "b", "bits": "bb", "vals": "vb"}), "grp").where("a < b")
-    return pairs.select("a", "b", F.round(tanimoto.tanimoto_sparse(F.col("ba"), F.col("va"), F.col("bb"), F.col("vb")), DIGITS).alias("score"))
+    return _round(topk.tanimoto_of_groups(rows, "grp", "comp_id"), "score")
 
 
 @query("""select pos, case when pos % 4 = 1 then null else cast(pos as double) + 0.5 end as precursor_mz, case when pos % 3 = 0 then null else concat(' x', cast(pos as varchar)) end as ionmode,
