@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalized
+from ..functions.vectors import dot
 from .lookup import one_dimension
 from .topk import DIGITS, _unit, dense, ranked
 
@@ -48,30 +48,31 @@ def centroids(sample: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _cells(rows: DataFrame, key: str, middles: np.ndarray, probes: int) -> DataFrame:
-    """(key, vec, cell): each vector with its ``probes`` nearest cells; the middles are bounded by ``MOST_CELLS``."""
+    """(key, vec, cell): each vector, scaled to length 1, with its ``probes`` nearest cells; the middles are bounded by ``MOST_CELLS``."""
     shared = rows.sparkSession.sparkContext.broadcast(middles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in b.column(1).to_pylist()])
+                x = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
                 n = min(probes, len(shared.value))
                 near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :n]
-                at = pa.array(np.repeat(np.arange(b.num_rows), n))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=[key, "vec", "cell"])
+                at = np.repeat(np.arange(b.num_rows), n)
+                unit = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1], pa.array(x[at].ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), unit, pa.array(near.ravel().astype(np.int32))], names=[key, "vec", "cell"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "vec").mapInArrow(run, f"{key} {kind}, vec array<double>, cell int")
+    return rows.select(key, F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, f"{key} {kind}, vec array<double>, cell int")
 
 
 def build(embeddings: DataFrame, item: str = "spec_id", vec: str = "vec", cells: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """(item, vec, cell) of every unit vector, and the centroids.  No rows or vectors of several lengths raise ``ValueError``."""
     one_dimension(embeddings, vec, may_be_empty=False)
-    rows = embeddings.select(item, l2_normalized(F.col(vec)).alias("vec"))
+    rows = embeddings.select(item, F.col(vec).alias("vec"))
     n = rows.count()
     cells = cells or min(MOST_CELLS, max(1, n // CELL))
     some = rows.select("vec") if n <= SAMPLE else rows.orderBy(F.xxhash64(item, F.lit(SEED))).select("vec").limit(SAMPLE)
-    middles = centroids(np.array([r[0] for r in some.collect()], dtype=np.float64), cells)
+    middles = centroids(_unit(np.array([r[0] for r in some.collect()], dtype=np.float64)), cells)
     return _cells(rows, item, middles, 1), middles
 
 
@@ -92,7 +93,7 @@ class VectorIndex:
             return dense(queries, self.rows, k, item=self.item)
         if (d := one_dimension(queries)) not in (None, self.middles.shape[1]):
             raise ValueError(f"dimensions differ: queries {d}, library {self.middles.shape[1]}")
-        asked = queries.select(F.col("query_ix").cast("long").alias("query_ix"), l2_normalized(F.col("vec")).alias("vec"))
+        asked = queries.select(F.col("query_ix").cast("long").alias("query_ix"), "vec")
         near = _cells(asked, "query_ix", self.middles, probes).withColumnRenamed("vec", "q")
         found = near.join(self.rows, "cell").select("query_ix", self.item, F.round(dot(F.col("q"), F.col("vec")), DIGITS).alias("score"))
         return ranked(found, k, "query_ix", self.item).select("query_ix", "rank", self.item, "score")

@@ -87,6 +87,17 @@ def _numeric(v: Views) -> Library:
     return _shared(v, "numeric", make)
 
 
+def _indexed(v: Views) -> Library:
+    """The embeddings, indexed."""
+
+    def make() -> Library:
+        made = _fresh(v, {"embeddings": v("v_embeddings").withColumn("d", F.size("vec"))})
+        made.build_embedding_index()
+        return made
+
+    return _shared(v, "indexed", make)
+
+
 # --- Searches ---------------------------------------------------------------------------------
 
 
@@ -103,7 +114,7 @@ select a.query_ix, a.query_spec_id, cast(rank as integer) as rank, spec_id, roun
 from a join r on cast(r.query_ix as varchar) = a.query_spec_id where rank <= 5""")
 def knn_of_requested_ids(v):
     asked = v("v_request").select("pos", ((F.col("pos") - F.col("pos") % 2) * 3).cast("string").alias("spec_id"))
-    return _round(_numeric(v).query_by_spec_ids(asked, 5), "score")
+    return _round(_indexed(v).query_by_spec_ids(asked, 5), "score")
 
 
 @query(f"""with {TANI}, r as (select *, row_number() over (partition by query_ix order by score desc, comp_id) as rank from s)
