@@ -29,6 +29,13 @@ def tolerance_join(left: DataFrame, right: DataFrame, tol: float, on: str = "mz"
     return spread.join(other, [*keys, "_b"]).where(F.abs(F.col(on) - F.col(f"{on}_r")) <= tol).drop("_b")
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from 0, as SQL rounds; ``np.round`` takes them to the even digit, and products of roots do lie on halves."""
+    y = np.abs(x) * 10.0**digits
+    whole = np.floor(y)
+    return np.copysign((whole + (y - whole >= 0.5)) / 10.0**digits, x)
+
+
 def greedy_cosine(a: list, b: list, tol: float, mz_power: float, intensity_power: float) -> tuple[float, int]:
     """(score, matches) of two (mz, intensity) arrays: best products first, each peak used once.
 
@@ -44,7 +51,7 @@ def greedy_cosine(a: list, b: list, tol: float, mz_power: float, intensity_power
         return 0.0, 0
     product = wx[i] * wy[j]
     score, count, used_i, used_j = 0.0, 0, set(), set()
-    for k in np.lexsort((j, i, -np.round(product, 12))):
+    for k in np.lexsort((j, i, -rounded(product, 12))):
         if i[k] not in used_i and j[k] not in used_j:
             used_i.add(i[k])
             used_j.add(j[k])
@@ -90,7 +97,7 @@ def _greedy(pair: np.ndarray, i: np.ndarray, j: np.ndarray, product: np.ndarray,
     In the order of choice, a match that is the first of both of its peaks is
     chosen whatever comes before; those are taken, what they exclude goes, and so on.
     """
-    product = np.round(product, 12)
+    product = rounded(product, 12)
     order = np.lexsort((j, i, -product, pair))
     pair, i, j, product = pair[order], i[order], j[order], product[order]
     total = np.zeros(n)
@@ -164,7 +171,7 @@ def _block_pairs(own: DataFrame, tol: float, mz_power: float, intensity_power: f
         lists = t["mz"].chunk(0)
         flat = [t[c].chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("mz", "x")]
         for u, v, s in block_scores(np.cumsum(new), sub, i != j, np.diff(lists.offsets.to_numpy()), *flat, tol, mz_power, intensity_power):
-            some = np.flatnonzero(np.round(s, DIGITS) >= least) if least is not None else np.arange(len(s))
+            some = np.flatnonzero(rounded(s, DIGITS) >= least) if least is not None else np.arange(len(s))
             a, b = t["a"].take(pa.array(u[some])), t["a"].take(pa.array(v[some]))
             out = pa.table([t["k"].take(pa.array(u[some])), a, b, pa.array(s[some])], names=["k", "a", "b", "score"])
             yield from out.filter(pc.not_equal(a, b)).combine_chunks().to_batches()
