@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..deploy import ship
 from ..functions.fingerprints import exploded, from_dense
 from ..functions.keys import strip_where
-from ..functions.vectors import cosine
 from ..operators import aggregate, index, lookup, merging, topk, writes
 from ..plugins import compute_embeddings, compute_fingerprints, external, structure_counts, without_fingerprint
 from ..schema import COMPOUNDS, KEY_LENGTH, METADATA_FIELDS, SPECTRA
@@ -60,22 +59,25 @@ def analogue_search(
     3. each neighbour's best spectrum by cosine to the query: its score;
     4. the neighbours' fingerprints averaged with those scores as weights;
     5. a search of the result in ``target``.
+    Queries that share a compound share its neighbours, so 3. is a matrix product for each such
+    group, and averages are made where they are compared: what moves is a few weights a query.
     Queries whose compound has no fingerprint, or whose weights sum to 0 or less, give no rows.
     """
     top = topk.dense(queries, embeddings.join(mapping.select("spec_id"), "spec_id", "left_semi"), 1).join(mapping, "spec_id").select("query_ix", "comp_id")
     top, bits = written(top, "top"), topk.packed(bits, "comp_id")
     # Many queries share a compound: each is looked for once.
     asked = bits.join(top.select("comp_id").distinct(), "comp_id", "left_semi").withColumnRenamed("comp_id", "own")
-    near = topk.sparse(asked, bits, k_neighbours, "own").join(top.withColumnRenamed("comp_id", "own"), "own").select("query_ix", "comp_id")
-    spectra = near.join(mapping, "comp_id").join(embeddings.select("spec_id", "vec"), "spec_id").join(queries.select("query_ix", F.col("vec").alias("q")), "query_ix")
-    scores = spectra.groupBy("query_ix", "comp_id").agg(F.round(F.max(cosine(F.col("q"), F.col("vec"))), topk.DIGITS).alias("s"))
-    scores = written(scores, "neighbours")
-    total = scores.groupBy("query_ix").agg(aggregate.weighted_average_score(F.col("s")).alias("weighted_average_score"), F.sum("s").alias("total")).where("total > 0")
-    weights = scores.join(total.select("query_ix"), "query_ix", "left_semi").select("query_ix", "comp_id", F.col("s").alias("weight"))
-    parts = weights.select("query_ix", "comp_id").join(topk.unpacked(bits, "comp_id"), "comp_id")
-    merged = aggregate.merged_fingerprints(parts, "query_ix", "comp_id", weights)
-    # Weights may be negative; a search takes no negative values.
-    found = topk.sparse(merged.where("value > 0"), target, k_compounds)
+    near = written(topk.sparse(asked, bits, k_neighbours, "own").select("own", F.col("rank").alias("j"), "comp_id"), "neighbours")
+    top = top.withColumnRenamed("comp_id", "own").join(near.select("own").distinct(), "own", "left_semi")
+    asking = top.join(queries.select("query_ix", "vec"), "query_ix")
+    spectra = near.join(mapping, "comp_id").join(embeddings.select("spec_id", "vec"), "spec_id").select("own", "j", "vec")
+    scores = written(topk.best_of_pairs(asking, spectra, "own", "j").select("query_ix", "own", "j", F.round("score", topk.DIGITS).alias("s")), "scores")
+    total = scores.groupBy("query_ix", "own").agg(
+        aggregate.weighted_average_score(F.col("s")).alias("weighted_average_score"), F.sum("s").alias("total"), F.collect_list(F.struct("j", "s")).alias("w")
+    ).where("total > 0")
+    weights = total.select("query_ix", "own", F.col("w.j").alias("js"), F.transform("w", lambda w: w["s"] / F.col("total")).alias("ws"))
+    parts = near.join(bits, "comp_id").select("own", "j", "bits", "vals")
+    found = topk.merged_sparse(weights, parts, target, k_compounds)
     return found.join(total.select("query_ix", "weighted_average_score"), "query_ix").select("query_ix", "rank", "comp_id", "score", "weighted_average_score")
 
 
