@@ -4,7 +4,8 @@ The split pattern of these vocabularies starts a new pre-token at a space, unles
 more white space comes before and after it, and byte-level BPE never merges
 across pre-tokens.  So a text is cut in front of its spaces, the distinct parts
 of a batch are found by Arrow, only those not met lately are encoded, and the
-ids of the texts are gathered from theirs.  A text with a space inside a run of
+ids of the texts are gathered from theirs.  Parts without other white space are
+encoded many at a time, a line each: a line break is a pre-token and an id of its own there.  A text with a space inside a run of
 white space is encoded whole, and so is every text where a vocabulary splits
 in another way or normalises texts.
 """
@@ -25,10 +26,12 @@ TOKENIZER = "byte_bpe_50k.json"
 #: White space in the sense of the split pattern, and a space inside or at the end of a run of it.
 _W = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _INSIDE = rf"{_W} (?:{_W}|\z)"
+#: A part without white space but a space before it.
+_PLAIN = rf"\A ?[^{_W[1:]}+\z"
 #: Parts remembered in a worker; the memo is emptied beyond that.
 BOUND = 2_000_000
-#: Parts whose ids are gathered at once, and parts encoded at once.
-GATHERED, ENCODED = 100_000, 2000
+#: Parts whose ids are gathered at once, parts encoded at once, and parts that are lines of one text.
+GATHERED, ENCODED, JOINED = 100_000, 2000, 200
 _BYTES = methodcaller("encode", "utf-8", "surrogatepass")
 
 
@@ -89,11 +92,21 @@ class Encoder:
         plain = made.get("normalizer") is None and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in made.get("added_tokens", []))
         #: Whether texts may be cut in front of spaces.
         self.cuts = plain and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space")
+        broken = self.library.encode("\n", add_special_tokens=False).ids
+        bare = made.get("truncation") is None and made.get("padding") is None and not any(c.isspace() for t in made.get("added_tokens", []) for c in t["content"])
+        #: The id of a line break, if parts may be encoded as lines.
+        self.line = broken[0] if self.cuts and bare and len(broken) == 1 else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=self.dtype, count=int(sizes.sum())), sizes
+
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(first place in the blob, number of ids) of each part."""
         memo, n = self.memo, len(parts)
@@ -104,11 +117,23 @@ class Encoder:
         if len(new) + len(memo.keys) > self.bound:
             memo = self.memo = Memo(self.dtype)
             starts, sizes, new = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
-        for at in range(0, len(new), ENCODED):
-            some = new[at : at + ENCODED]
-            ids = [e.ids for e in self.library.encode_batch_fast([parts[i] for i in some.tolist()], add_special_tokens=False)]
-            sizes[some] = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=self.dtype, count=int(sizes[some].sum()))
+        alone = new
+        if self.line is not None and len(new):
+            plain = pc.match_substring_regex(pa.array([parts[i] for i in new.tolist()], pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False)
+            alone, lines = new[~plain], new[plain]
+            for at in range(0, len(lines), ENCODED):
+                some = lines[at : at + ENCODED]
+                own = [parts[i] + "\n" for i in some.tolist()]
+                flat = self._flat(["".join(own[i : i + JOINED]) for i in range(0, len(own), JOINED)])[0]
+                ends = np.flatnonzero(flat == self.line)
+                if len(ends) != len(own):
+                    alone = np.concatenate([alone, some])
+                    continue
+                sizes[some] = np.diff(ends, prepend=-1) - 1
+                starts[some] = memo.put(flat[flat != self.line]) + np.cumsum(sizes[some]) - sizes[some]
+        for at in range(0, len(alone), ENCODED):
+            some = alone[at : at + ENCODED]
+            flat, sizes[some] = self._flat([parts[i] for i in some.tolist()])
             starts[some] = memo.put(flat) + np.cumsum(sizes[some]) - sizes[some]
         memo.learn(keys[new], starts[new], sizes[new])
         return starts, sizes
