@@ -9,12 +9,14 @@ ships here but :class:`Morgan`, which needs the package rdkit.
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def loaded(load: Callable, key: str, *given):
     return _LOADED[key]
 
 
+def marked(load: Callable, key: str) -> str:
+    """``key`` for this loader alone: workers outlive a query, and another library's plug-in may have been loaded in them."""
+    return f"{key} {hashlib.sha256(cloudpickle.dumps(load)).hexdigest()}"
+
+
 def external(package: str, what: str):
     """A loader that says which package is missing."""
     try:
@@ -49,6 +56,7 @@ def compute_embeddings(spectra: DataFrame, load: Callable, normalize_spectrum: b
     """(spec_id, d, vec) of each spectrum, in Arrow batches."""
     peaks = sum_normalized(F.col("peaks")) if normalize_spectrum else F.col("peaks")
     meta = [c for c in spectra.columns if c not in ("spec_id", "peaks", "pos")]
+    key = marked(load, key)
     rows = spectra.select("spec_id", peaks.alias("peaks"), F.struct(*meta).alias("meta") if meta else F.lit(None).alias("meta"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +123,14 @@ def compute_fingerprints(compounds: DataFrame, load: Callable, settings: Fingerp
     Counts are scaled and weighted as the settings say; without ``count`` a bit's
     value is 1.  A structure that can't be read gives null fingerprints; rows stay on their key.
     """
+    key = marked(load, f"{key} {settings}")
     rows = compounds.select(
         "comp_id", F.when(present(F.col("smiles")), F.col("smiles")).alias("smiles"),
         F.when(~F.coalesce(present(F.col("smiles")), F.lit(False)) & present(F.col("inchi")), F.col("inchi")).alias("inchi"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        generator = loaded(load, f"{key} {settings}", settings)
+        generator = loaded(load, key, settings)
         for b in batches:
             found = []
             for smiles, inchi in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
