@@ -88,6 +88,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """The frame itself if it only picks and computes columns and rows of files, which read alike again; else :func:`written`."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    plain = node.deterministic()
+    while plain and node.children().nonEmpty():
+        plain, node = node.nodeName() in ("Project", "Filter"), node.children().head()
+    plain = plain and node.nodeName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    return df if plain else written(df, label)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame from :func:`written` once nothing reads it."""
     remove(df.sparkSession, df._ionquarry_uri)
